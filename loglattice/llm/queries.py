@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, quality, simhash
+from . import exact, mixing, packing, pii, quality, simhash, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where("p_clean >= 0.5").select("doc_id", "p_clean", "p_toxic")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -30,10 +34,21 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), copy_col="copy").select("doc_id", "source", "copy")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of the files written."""
+    return warc.write_warc(_table(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_best_fit_packing, op4_exact_dedup, op7_mix_sources, op9_simhash_near_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fitted(docs))
+
+
+_ALL = (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op7_mix_sources, op8_warc, op9_simhash_near_dedup, op10_pii)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {"op4_exact_dedup": exact.EXACT_SQL, "op7_mix_sources": mixing.MIX_SQL}
