@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, pii, quality, simhash, tokens, vectors, warc
+from . import exact, mixing, packing, pii, quality, simhash, suffix, tokens, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.fitted(docs))
 
 
-_ALL = (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op6_embedding_near_dedup, op7_mix_sources, op8_warc, op9_simhash_near_dedup, op10_pii)
+_ALL = (op1_quality_classifier, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_suffix_array_dedup, op6_embedding_near_dedup, op7_mix_sources, op8_warc, op9_simhash_near_dedup, op10_pii)
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLES = {"op4_exact_dedup": exact.EXACT_SQL, "op7_mix_sources": mixing.MIX_SQL}
