@@ -1,0 +1,372 @@
+"""Small tables with every awkward case, held against brute force."""
+
+import glob
+import math
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from loglattice.llm import exact, mixing, packing, pii, quality, simhash, suffix, tokens, vectors, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, texts, ids=None, sources=None, extra=False):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", (sources or ["a"] * len(texts))[k], None if t is None else len(t)) for k, (i, t) in enumerate(zip(ids, texts))]
+    df = spark.createDataFrame(rows, DOCS)
+    if extra:  # names that the operators use themselves
+        for c in ("id", "key", "bucket", "size", "_body", "_rank", "_first", "shard", "_t", "root", "node", "_copies", "pos", "sig"):
+            df = df.selectExpr("*", f"1 as `{c}`")
+    return df
+
+
+def words(r, n, vocab=4000):
+    return " ".join(f"w{r.randrange(vocab)}" for _ in range(n))
+
+
+AWKWARD = [None, "", "  \n", "a", "a", "long " * 30000, "é ü 日本 \U0001f600", None, ""]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# --- 1
+
+
+def labelled_texts(r, n):
+    texts, labels = [], []
+    for _ in range(n):
+        kind = r.choice([0, 0, 0, 1, 2])
+        t = words(r, r.randint(20, 120), 500)
+        if kind == 1:
+            t = " | ".join(f"junk{r.randrange(50)}" for _ in range(60))
+        if kind == 2:
+            parts = t.split()
+            for _ in range(max(2, len(parts) // 15)):
+                parts.insert(r.randrange(len(parts)), r.choice(["idiotic", "scummy"]))
+            t = " ".join(parts)
+        texts.append(t)
+        labels.append(kind)
+    return texts, np.array(labels)
+
+
+def test_quality_held_out():
+    texts, labels = labelled_texts(random.Random(1), 900)
+    model = quality.train(texts[:600], labels[:600])
+    p = next(quality.probabilities(model, iter([texts[600:] + [None, "", "  "]])))
+    assert (p[:300].argmax(1) == labels[600:]).mean() > 0.95 and np.isnan(p[300:]).all()
+    again = quality.train(texts[:600], labels[:600])
+    assert np.array_equal(model.scores, again.scores)
+
+
+def test_quality_filter(spark, empty):
+    r = random.Random(2)
+    texts, kinds = labelled_texts(r, 300)
+    docs = table(spark, texts + AWKWARD, extra=True)
+    labels = spark.createDataFrame([(k, int(kinds[k] != 1), int(kinds[k] == 2)) for k in range(300)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    kept = quality.quality_filter(docs, labels)
+    assert kept.columns == docs.columns
+    ids = {x.doc_id for x in kept.collect()}
+    clean = {k for k in range(300) if kinds[k] == 0}
+    assert len(ids & clean) > 0.95 * len(clean) and len({k for k in ids if k < 300} - clean) < 12
+    assert not ids & {300, 301, 302, 307, 308}
+    assert quality.quality_filter(empty, labels).count() == 0
+    none = quality.quality_filter(table(spark, AWKWARD), labels.limit(0))
+    assert sorted(x.doc_id for x in none.collect()) == [3, 4, 5, 6]
+
+
+# --- 2
+
+
+def test_token_counts_are_those_of_whole_texts(spark, empty):
+    r = random.Random(3)
+    parts = ["a", "bb", " ", "  ", "\n", "é", "日本", "'re", "'", "123", ".", "!?", "\t", "　", "x'll", "   \n", "\U0001f600"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 2500))) for _ in range(60)] + ["a" * 3000, "é" * 2000, " " * 1500] + AWKWARD
+    enc, _ = tokens.encoder(tokens.VOCABULARY)
+    got = {x.doc_id: (x.tokens, x.chunks) for x in tokens.token_counts(table(spark, texts, extra=True), chunk=200, overlap=16).collect()}
+    for k, t in enumerate(texts):
+        assert got[k][0] == (None if t is None else len(enc.encode_ordinary(t)))
+    assert max(c for _, c in got.values()) > 5 and got[len(texts) - len(AWKWARD)] == (None, 0)
+    assert tokens.token_counts(empty).count() == 0
+
+
+# --- 3
+
+
+def test_packing(spark, empty):
+    r = random.Random(4)
+    texts = ["x" * r.choice([1, 30, 700, 900, 2048, 5000, 16384, 40000]) for _ in range(400)] + AWKWARD + ["日" * 9000]
+    docs = table(spark, texts, ids=[*range(len(texts) - 2), None, 7], extra=True)
+    rows = packing.pack(docs, shard_bytes=1 << 20).collect()
+    bins = {}
+    for x in rows:
+        bins.setdefault(x.bin, []).append(x)
+    for b in bins.values():
+        b.sort(key=lambda x: x.position)
+        at = 0
+        for x in b:
+            assert x.position == at
+            at += x.length
+        assert at == b[0].used <= b[0].capacity and b[0].capacity == min(c for c in packing.CAPACITIES if c >= at)
+    total = sum(len(t.encode()) for t in texts if t)
+    assert sum(x.length for x in rows) == total
+    whole = sorted((x.doc_id, x.start, x.length) for x in rows if x.doc_id == 405)
+    assert sum(n for _, _, n in whole) == len(texts[405]) and all(a + n == b for (_, a, n), (_, b, _) in zip(whole, whole[1:]))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, packing.pack(docs.repartition(7), shard_bytes=1 << 20).collect()))
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_is_best_fit_and_beats_each_single_length():
+    r = random.Random(5)
+    for _ in range(30):
+        sizes = sorted((r.randint(1, 16384) if r.random() < 0.3 else r.randint(1, 3000) for _ in range(r.randint(1, 200))), reverse=True)
+        at, final, used = packing.best_fit(sizes)
+        for c in packing.CAPACITIES:
+            room, cost = [], 0  # first principles: the fullest bin with room
+            for s in sizes:
+                fits = [k for k, (cap, u) in enumerate(room) if cap - u >= s]
+                if fits:
+                    k = min(fits, key=lambda k: (room[k][0] - room[k][1], k))
+                    room[k][1] += s
+                else:
+                    room.append([next(x for x in packing.CAPACITIES if x >= max(s, c)), s])
+            cost = sum(packing.cost(next(x for x in packing.CAPACITIES if x >= u)) for _, u in room)
+            assert sum(map(packing.cost, final)) <= cost + 1e-6
+        assert sum(used) == sum(sizes) and len(at) == len(sizes)
+
+
+# --- 4
+
+
+def test_exact(spark, empty):
+    texts = AWKWARD + ["a  b\n", "a b", "\ta b ", "a bc", "long " * 30000 + " "]
+    docs = table(spark, texts, extra=True)
+    pairs = {tuple(x) for x in exact.exact_duplicates(docs).collect()}
+    assert pairs == {(2, 1), (8, 1), (4, 3), (10, 9), (11, 9), (13, 5)}
+    kept = exact.exact_dedup(docs)
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == set(range(14)) - {b for b, _ in pairs}
+    twice = table(spark, ["x", "x", "x"], ids=[5, 5, None])
+    assert sorted(map(tuple, exact.exact_duplicates(twice).collect()), key=str) == [(5, 5), (None, 5)]
+    assert exact.exact_dedup(empty).count() == 0
+
+
+# --- 5
+
+
+def brute_repeats(docs, window):
+    seen, marks = set(), {}
+    for i, t in docs:
+        w = t.split()
+        for p in range(len(w) - window + 1):
+            k = tuple(w[p : p + window])
+            if k in seen:
+                marks.setdefault(i, set()).update(range(p, p + window))
+            seen.add(k)
+    return marks
+
+
+def test_suffix_array_and_prefixes():
+    r = np.random.default_rng(6)
+    for _ in range(100):
+        t = r.integers(0, 3, r.integers(0, 50)).astype(np.int64)
+        sa = suffix.suffix_array(t)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        for k, n in enumerate(suffix.common_prefixes(t, sa)):
+            a, b = t[sa[k] :].tolist(), t[sa[k - 1] :].tolist()
+            assert n == (0 if k == 0 else next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+
+
+@pytest.mark.parametrize("shard_words", [300, 10**6])
+def test_repeats(spark, empty, shard_words):
+    r = random.Random(7)
+    shared = [words(r, 55), words(r, 80)]
+    texts = []
+    for k in range(60):
+        parts = [words(r, r.randint(0, 60)) for _ in range(3)]
+        if k % 3 == 0:
+            parts.insert(1, shared[k % 2])
+        if k % 10 == 1:
+            parts += [parts[0] + " " + words(r, 60)] * 2
+        texts.append(" ".join(parts))
+    texts += [texts[4], "same " * 400, "same " * 49] + AWKWARD[:5]
+    ids = list(range(len(texts)))
+    docs = table(spark, texts + [texts[0], shared[1]], ids=[*ids, 0, None], extra=True)
+    got = {}
+    for x in suffix.repeated_passages(docs, shard_words=shard_words).collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+        first = texts[x.start_word and x.doc_id].split() if False else texts[x.doc_id].split()[x.start_word : x.start_word + 50]
+        assert " ".join(first) in " ".join(texts[x.duplicate_of].split()) and x.duplicate_of <= x.doc_id
+    assert got == brute_repeats([(i, t) for i, t in zip(ids, texts) if t], 50)
+    assert suffix.repeated_passages(empty).count() == 0
+
+
+# --- 6
+
+
+def test_vectors(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(700, 16))
+    near = base[:60] + r.normal(size=(60, 16)) * 0.05
+    clump = base[5] + r.normal(size=(80, 16)) * 0.02
+    X = np.concatenate([base, near, clump, base[:3]])
+    rows = [(k, [float(v) for v in x], 1) for k, x in enumerate(X)] + [(5000, None, 1), (5001, [], 1), (5002, [0.0] * 16, 1), (5003, [float("nan")] * 16, 1), (5004, [1.0, 2.0], 1), (None, [1.0] * 16, 1), (0, [float(v) for v in X[0]], 1), (5005, [None] * 16, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cluster int")
+    got = {(x.a, x.b) for x in vectors.near_pairs(df, shard_rows=150, audit_rows=200).collect()}
+    U = X.astype(np.float32).astype(np.float64)
+    U /= np.linalg.norm(U, axis=1, keepdims=True)
+    true = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(U @ U.T >= 0.95, 1)))}
+    assert len(got & true) >= 0.9 * len(true) and len(got - true) <= 1
+    firsts = {x.vec_id: x.duplicate_of for x in vectors.near_duplicates(df, shard_rows=150).collect()}
+    assert all(b < a for a, b in firsts.items()) and firsts[785] == 5
+    assert vectors.near_duplicates(df.limit(0)).count() == 0 and vectors.near_duplicates(df.where("vec_id = 1")).count() == 0
+
+
+# --- 7
+
+
+def test_mixing(spark, empty):
+    r = random.Random(9)
+    sources = [r.choice(["a", "a", "a", "b", None]) for _ in range(500)]
+    docs = table(spark, ["x" * r.randint(0, 900) for _ in range(500)], sources=sources, extra=True)
+    got = mixing.mix_sources(docs, targets={"a": 1, "b": 3}, total=400)
+    assert got.columns == docs.columns
+    n = {x.source: x["count"] for x in got.groupBy("source").count().collect()}
+    assert n == {"a": 100, "b": 300}
+    con = duckdb.connect()
+    con.register("pdf", docs.select("doc_id", "source", "n_chars").toPandas())
+    con.sql("create view documents as select doc_id, source, n_chars::bigint as n_chars from pdf")
+    want = sorted(con.sql(mixing.MIX_SQL).fetchall(), key=str)
+    assert sorted((tuple(x) for x in mixing.mix_sources(docs, copy_col="copy").select("doc_id", "source", "copy").collect()), key=str) == want
+    twice = docs.where("doc_id < 20").union(docs.where("doc_id < 20"))
+    assert mixing.mix_sources(twice, targets={"a": 1}).count() > 0
+    odd = table(spark, AWKWARD, ids=[None, *range(8)])
+    assert mixing.mix_sources(odd).count() == 9
+    assert mixing.mix_sources(empty).count() == 0
+
+
+# --- 8
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 30, 20000])
+def test_warc_round_trip(spark, tmp_path, bucket_bytes):
+    r = random.Random(10)
+    rows = [(k, f"http://h{r.randrange(30)}.example/{k % 190}", words(r, r.randint(0, 200))) for k in range(300)] + [(300, None, "x"), (301, "u\r\nv é", None), (None, "http://z", ""), (5, "http://z", ""), (5, "http://z", ""), (302, "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as id", "2 as bucket", "3 as file")
+    how = {"roll_bytes": 30000, "bucket_bytes": bucket_bytes}
+    index = warc.write_warc(pages, str(tmp_path / "a"), **how).collect()
+    assert len(index) == len(rows)
+    back = warc.read_warc(spark, f"file://{tmp_path}/a").collect()
+    assert sorted((warc.uri(u), h or "") for _, u, h in rows) == sorted((x.url, x.html) for x in back)
+    files = {p.rsplit("/", 1)[1]: open(p, "rb").read() for p in glob.glob(f"{tmp_path}/a/*.warc.gz")}
+    for x in index:
+        raw = zlib.decompressobj(31).decompress(files[x.file][x.offset : x.offset + x.length])
+        assert f"WARC-Target-URI: {warc.uri(x.url)}\r\n".encode() in raw and f"WARC-Payload-Digest: {x.digest}\r\n".encode() in raw
+    assert len(files) > 1 and not glob.glob(f"{tmp_path}/a/_*") and glob.glob(f"{tmp_path}/a/manifest/*.json")
+    order = [h["WARC-Target-URI"] for f in sorted(files) for _, _, h, _ in warc.records(files[f]) if h["WARC-Type"] == "response"]
+    assert order == [warc.uri(u) for u in sorted((u for _, u, _ in rows), key=lambda u: (u is not None, u or ""))]
+    warc.write_warc(pages.repartition(5), str(tmp_path / "b"), **how)
+    assert files == {p.rsplit("/", 1)[1]: open(p, "rb").read() for p in glob.glob(f"{tmp_path}/b/*.warc.gz")}
+    assert warc.write_warc(pages.limit(0), str(tmp_path / "c")).count() == 0
+
+
+# --- 9
+
+
+def test_simhash(spark, empty):
+    r = random.Random(11)
+    texts = [words(r, r.randint(60, 300)) for _ in range(150)]
+    for k in range(0, 40):
+        w = texts[k].split()
+        for _ in range(len(w) // 50):
+            w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    texts += [texts[100].upper()] * 30
+    got = {x.doc_id: x.duplicate_of for x in simhash.near_duplicates(table(spark, texts + AWKWARD, extra=True)).collect()}
+    found = sum(got.get(150 + k) == k for k in range(40))
+    assert found >= 34 and all(got[190 + k] == 100 for k in range(30)) and set(got) <= {*range(150, 220), len(texts) + 4}
+    assert simhash.near_duplicates(empty).count() == 0
+    kept = simhash.near_dedup(table(spark, texts, extra=True))
+    assert kept.count() == len(texts) - len([k for k in got if k < len(texts)])
+
+
+def test_simhash_search_is_exact(spark):
+    r = np.random.default_rng(12)
+    base = r.integers(-(2**63), 2**63 - 1, 60)
+    sigs = list(base)
+    for b in base:
+        for _ in range(6):
+            flips = r.choice(64, r.integers(0, 14), replace=False)
+            sigs.append(int(np.bitwise_xor.reduce(np.array([b] + [np.int64(np.uint64(1) << np.uint64(f)) for f in flips], np.int64))))
+    sigs = sorted({int(s) for s in sigs})
+    nodes = spark.createDataFrame([(k, s) for k, s in enumerate(sigs)], "id long, sig long")
+    n, both = simhash.bit_statistics(nodes)
+    for tau in (3, 10):
+        plan = simhash.allocated(n, both, tau)
+        assert sum(t + 1 for _, t in plan) == tau + 1
+        got = [tuple(x) for x in simhash.close_pairs(simhash.probes(nodes, plan), plan, tau).collect()]
+        a = np.array(sigs, np.int64).view(np.uint64)
+        d = np.bitwise_count(a[:, None] ^ a[None, :])
+        assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(d <= tau, 1)))}
+
+
+# --- 10
+
+
+@pytest.fixture(scope="module")
+def net():
+    r = random.Random(13)
+    syllables = ["the", "er", "in", "on", "at", "re", "th", "and", "es", "of"]
+    texts = [" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(80)) for _ in range(100)]
+    x, y = pii.labelled(texts, 4000, 96)
+    return pii.Network(16).fit(x, y, steps=350), texts
+
+
+def test_pii_gradients():
+    x, y = pii.labelled(["the cat sat on the mat and was happy"], 3, 12)
+    net = pii.Network(3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    loss, g = net.gradients(x, y)
+    r = np.random.default_rng(0)
+    for k, a in net.p.items():
+        for _ in range(6):
+            at = tuple(r.integers(0, s) for s in a.shape)
+            keep, e = a[at], 1e-3
+            a[at] = keep + e
+            up = net.gradients(x, y)[0]
+            a[at] = keep - e
+            down = net.gradients(x, y)[0]
+            a[at] = keep
+            assert math.isclose((up - down) / (2 * e), g[k][at], rel_tol=0.05, abs_tol=2e-4), k
+
+
+def test_pii_found_in_whole_texts(spark, net, empty):
+    model, texts = net
+    r = random.Random(14)
+    docs, spans = [], []
+    for k in range(60):
+        kind = pii.KINDS[k % 5]
+        span = pii._example(r, kind, texts[0].split())
+        left = " ".join(texts[k % 20].split()[: r.randint(3, 60)] * r.randint(1, 4)) + " "
+        docs.append(left + span + " " + texts[k % 30])
+        spans.append((len(left), len(left) + len(span), kind))
+    clean = [t * 3 for t in texts[:20]] + ["Licensed under CC BY-NC 4.0.", "in 2021 there were 35 of them"]
+    got = {}
+    for x in pii.find_pii(table(spark, docs + clean + AWKWARD, extra=True), model).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.end, x.kind))
+    hit = sum(any(a < e and b > s for a, b, _ in got.get(k, [])) for k, (s, e, _) in enumerate(spans))
+    assert hit >= 57 and len([k for k in got if k >= len(docs)]) <= 1
+    safe = pii.redact(table(spark, docs[:5] + AWKWARD), model).collect()
+    assert len(safe) == 14 and pii.find_pii(empty, model).count() == 0
+    assert sum(f"<{pii.KINDS[k]}>" in safe[k].text for k in range(5)) >= 4
+
+
+def test_pii_windows_without_evidence_hold_none(net):
+    model, texts = net
+    x, y = pii.labelled(texts, 300, 96, seed=5)
+    assert (model.decode(x) == y).mean() > 0.97
