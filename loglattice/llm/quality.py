@@ -66,27 +66,37 @@ def train(texts: list[str], classes: np.ndarray, *, dim: int = 10, buckets: int
 
     Features of fewer than ``least_docs`` documents count as 0.
     """
-    bags: list[tuple[list[str], list[int], int]] = []
+    bags: list[tuple[np.ndarray, np.ndarray, int]] = []
     index: dict[str, int] = {}
     for text in texts:
         bag: dict[str, int] = {}
         words = words_of(text)
         for w in words:
             bag[w] = bag.get(w, 0) + 1
-        bags.append(([index.setdefault(w, len(index)) for w in bag], list(bag.values()), len(words)))
-    f, word = features(list(index), buckets)
-    order = np.argsort(word, kind="stable")
-    f, many = f[order], np.bincount(word, minlength=len(index))
+        bags.append((np.array([index.setdefault(w, len(index)) for w in bag], np.int32), np.array(list(bag.values()), np.int32), len(words)))
+    names, parts, many = list(index), [], np.zeros(len(index), np.int64)
+    del index
+    for at in range(0, len(names), 10_000):
+        f, word = features(names[at : at + 10_000], buckets)
+        order = np.argsort(word, kind="stable")
+        parts.append(f[order].astype(np.int32))
+        many[at : at + 10_000] = np.bincount(word, minlength=len(names[at : at + 10_000]))
+    del names
+    f = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del parts
     begin = np.cumsum(many) - many
     feats, weights = [], []
     for ids, counts, n in bags:
-        ids = np.array(ids, np.int64)
         size = many[ids]
         at = np.repeat(begin[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         u, inverse = np.unique(f[at], return_inverse=True)
-        feats.append(u.astype(np.int32))
-        weights.append(np.bincount(inverse, np.repeat(np.array(counts) / (n + PAD) / size, size), len(u)).astype(np.float32))
-    common = np.bincount(np.concatenate(feats), minlength=buckets) >= least_docs
+        feats.append(u)
+        weights.append(np.bincount(inverse, np.repeat(counts / (n + PAD) / size, size), len(u)).astype(np.float32))
+    del f, bags
+    docs_with = np.zeros(buckets, np.int32)
+    for u in feats:
+        docs_with[u] += 1
+    common = docs_with >= least_docs
     for k, u in enumerate(feats):
         feats[k], weights[k] = u[common[u]], weights[k][common[u]]
     rng = np.random.default_rng(seed)
@@ -169,7 +179,9 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     classes = np.array([r["kind"] for r in rows], np.int64)
     if len(set(classes.tolist())) < 2:
         return None
-    return train([r["text"] for r in rows], classes)
+    texts_ = [r["text"] for r in rows]
+    del rows
+    return train(texts_, classes)
 
 
 def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "p_clean", toxic_col: str = "p_toxic") -> DataFrame:
