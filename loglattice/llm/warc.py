@@ -75,7 +75,7 @@ class _File:
         return [(k, u, self.name, a, n, d, self.size, self.sha.hexdigest()) for k, u, a, n, d in self.rows]
 
 
-def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 64 << 20, bucket_bytes: int = 256 << 20, date: str = DATE) -> DataFrame:
+def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 16 << 20, bucket_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Write ``pages`` as WARC files to ``path`` and return the index: (id, url, file, offset, length, digest).
 
     1. Splitters come from the rows whose hash is a multiple of a step: the same ones for the same rows. They cut
@@ -111,7 +111,7 @@ def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page
 
         return pd.Series([bisect_right(edges, _key(u, None if i != i else i)) for u, i in zip(url, key)], dtype="int32")
 
-    placed = rows.withColumn("bucket", bucket("url", "id") if edges else F.lit(0)).repartition(buckets, "bucket")
+    placed = rows.withColumn("bucket", bucket("url", "id") if edges else F.lit(0)).repartitionByRange(buckets, "bucket")
     order = placed.sortWithinPartitions("bucket", F.asc_nulls_first("url"), F.asc_nulls_first("id"), F.asc_nulls_first("html"))
     names = ["id", "url", "file", "offset", "length", "digest", "size", "sha1"]
 
