@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, columns, fresh
+from .common import column, columns, fresh, written
 
 BUCKETS = 4096
+#: a row for each source is sent to every task up to this number of sources; beyond it the rows are joined by source
+BROADCAST_SOURCES = 200_000
 
 
 def source_targets(docs: DataFrame, *, source_col: str = "source", size_col: str = "n_chars", targets: dict | None = None, total: int | None = None) -> DataFrame:
@@ -49,17 +51,19 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     random number is a hash of the seed and the id.
 
     No source is ranked in one task: counts by bucket of the ranking variable find the bucket where the last one
-    due lies, and only that bucket's ids are sorted. The cut then filters all rows where they are; texts never move.
+    due lies, and only that bucket's ids are sorted. The cut then filters all rows where they are; texts don't move
+    unless there are more than BROADCAST_SOURCES sources.
 
     Nulls: a null source is a source of its own, a null or negative size counts as 0, and a null id has a draw like
     any other. Rows with the same id share their draw and go in or out together. ``copy_col`` numbers the copies.
     """
     t, x, r, q, b, whole, copies = (fresh(docs, f"_{n}") for n in ("t", "x", "r", "q", "b", "whole", "copies"))
     goal = source_targets(docs, source_col=source_col, size_col=size_col, targets=targets, total=total)
-    goal = goal.select(F.struct("*").alias(t))
+    goal = written(goal.select(F.struct("*").alias(t)), "goal")
+    few = goal.count() <= BROADCAST_SOURCES
 
     def drawn(rows: DataFrame, goal: DataFrame) -> DataFrame:
-        rows = rows.join(goal, column(source_col).eqNullSafe(F.col(f"{t}.source")))
+        rows = rows.join(F.broadcast(goal) if few else goal, column(source_col).eqNullSafe(F.col(f"{t}.source")))
         rows = rows.withColumn(x, measure(size_col))
         due = F.col(f"{t}.want") * column(x)
         rows = rows.withColumns({whole: F.expr(f"{t}.want * `{x}` div {t}.mass"), r: due % F.col(f"{t}.mass")})
@@ -76,10 +80,11 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
     counts = counts.withColumns({"due": F.col(f"{t}.want") - F.sum("sure").over(Window.partitionBy(t)), "before": F.coalesce(F.sum("n").over(up), F.lit(0))})
     last = counts.where("before < due and before + n >= due and b is not null").select(F.struct(f"{t}.source", F.col("b").alias("b"), (F.col("due") - F.col("before")).alias("k")).alias("last"))
     # of the bucket in which the last one lies, the place of the last one
-    near = rows.join(last, column(source_col).eqNullSafe(F.col("last.source")) & (column(b) == F.col("last.b")))
+    near = rows.join(F.broadcast(last) if few else last, column(source_col).eqNullSafe(F.col("last.source")) & (column(b) == F.col("last.b")))
     place = F.row_number().over(Window.partitionBy(F.col("last.source")).orderBy(column(q), column(id_col).asc_nulls_first()))
     cut = near.withColumn("place", place).where("place = last.k").select(F.struct(F.col("last.source").alias("source"), column(q).alias("q"), column(id_col).alias("id")).alias("cut"))
     goal = goal.join(cut, F.col(f"{t}.source").eqNullSafe(F.col("cut.source")), "left").select(F.struct(f"{t}.*", "cut.q", "cut.id").alias(t))
+    goal = written(goal, "goal")
     rows = drawn(docs, goal)
     ids = column(id_col).isNull() | F.coalesce(column(id_col) <= F.col(f"{t}.id"), F.lit(False))
     taken = (column(q) < F.col(f"{t}.q")) | ((column(q) == F.col(f"{t}.q")) & ids)
