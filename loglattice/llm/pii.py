@@ -235,7 +235,9 @@ def fitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     The documents are those without digits or @ whose ids hash lowest.
     """
     rows = docs.where(F.length(column(text_col)).between(40, 4000) & ~column(text_col).rlike("[0-9@]")).select(column(id_col).alias("id"), column(text_col).alias("text"))
-    texts = [r["text"] for r in rows.orderBy(F.xxhash64("id"), "id", "text").limit(train_rows).collect()]
+    # ids are ranked first, or every task would send as many texts to the driver
+    chosen = rows.select("id").where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(train_rows)
+    texts = [r["text"] for r in rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()]
     x, y = labelled(texts, spans, 96)
     return Network(hidden).fit(x, y, steps=steps)
 
