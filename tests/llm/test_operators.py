@@ -200,7 +200,7 @@ def test_repeats(spark, empty, shard_words):
     got = {}
     for x in suffix.repeated_passages(docs, shard_words=shard_words).collect():
         got.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
-        first = texts[x.start_word and x.doc_id].split() if False else texts[x.doc_id].split()[x.start_word : x.start_word + 50]
+        first = texts[x.doc_id].split()[x.start_word : x.start_word + 50]
         assert " ".join(first) in " ".join(texts[x.duplicate_of].split()) and x.duplicate_of <= x.doc_id
     assert got == brute_repeats([(i, t) for i, t in zip(ids, texts) if t], 50)
     assert suffix.repeated_passages(empty).count() == 0

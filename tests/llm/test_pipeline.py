@@ -30,7 +30,7 @@ def test_stages(spark, stages):
     assert sum(k in kept for k, v in labels.items() if v[0] == 0) <= 2
     first = {}
     for k in sorted(kept):
-        first.setdefault(" ".join(text[k].split(" ")) if False else " ".join(text[k].split()), k)
+        first.setdefault(" ".join(text[k].split()), k)
     assert {x.doc_id for x in exact.collect()} == set(first.values())
     alone = {x.doc_id for x in near.collect()}
     assert alone <= set(first.values())
