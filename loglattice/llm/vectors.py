@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings, by a robust-pruned graph."""
+"""Near duplicates among embeddings, compared with all others of their clusters."""
 
 from __future__ import annotations
 
@@ -32,113 +32,18 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
 # --- one shard in memory
 
 
-def robust_pruned(X: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
-    """Neighbours of each row. All rows of the shard are candidates of all others, the nearest first; each one taken
-
-    strikes out those that are nearer to it, by a factor of ``alpha``, than to the row in question.
-    """
-    n = len(X)
-    D = np.maximum(2 - 2 * (X @ X.T), 0)
-    alive = D.copy()
-    np.fill_diagonal(alive, np.inf)
-    picked = np.full((n, degree), -1)
-    rows = np.arange(n)
-    for k in range(min(degree, n - 1)):
-        best = alive.argmin(axis=1)
-        ok = np.isfinite(alive[rows, best])
-        if not ok.any():
-            break
-        picked[ok, k] = best[ok]
-        alive[rows, best] = np.inf
-        alive[alpha * alpha * D[best] <= D] = np.inf
-    return [p[p >= 0] for p in picked]
-
-
-def shard_graph(X: np.ndarray, degree: int, alpha: float, most: int) -> list[np.ndarray]:
-    """Like :func:`robust_pruned`; more than ``most`` rows are cut in two halves that overlap, their lists united."""
-    if len(X) <= most:
-        return robust_pruned(X, degree, alpha)
-    a = X[0]
-    b = X[int((X @ a).argmin())]
-    for _ in range(4):
-        side = X @ b > X @ a
-        if side.all() or not side.any():
-            break
-        a, b = X[~side].mean(axis=0), X[side].mean(axis=0)
-    rank = np.argsort(X @ b - X @ a, kind="stable")
-    middle, margin = len(X) // 2, max(1, len(X) // 10)
-    lists: list[list[np.ndarray]] = [[] for _ in range(len(X))]
-    for part in (rank[: middle + margin], rank[middle - margin :]):
-        for k, near in zip(part, shard_graph(X[part], degree, alpha, most)):
-            lists[k].append(part[near])
-    return [np.unique(np.concatenate(x)) for x in lists]
-
-
-def range_search(X: np.ndarray, near: list[np.ndarray], floor: float, beam: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) with a < b: rows whose cosine is ``floor`` or more, as found by a search for every row.
-
-    A greedy search with a ``beam`` of nodes starts at the medoid. From what it finds within range, the search
-    expands to all neighbours within range, and on from those, without a limit.
-    """
-    n = len(X)
-    width = max(1, max(map(len, near)))
-    adj = np.full((n, width), -1)
-    for k, x in enumerate(near):
-        adj[k, : len(x)] = x
-    medoid = int((X @ X.mean(axis=0)).argmax())
-    left, right = [], []
-    for at in range(0, n, chunk):
-        Q = X[at : at + chunk]
-        m = len(Q)
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, n] = True
-        seen[:, medoid] = True
-        nodes, score = np.full((m, beam), n), np.full((m, beam), -2.0, np.float32)
-        nodes[:, 0], score[:, 0] = medoid, Q @ X[medoid]
-        opened = np.ones((m, beam), bool)
-        opened[:, 0] = False
-        hits = [(np.flatnonzero(score[:, 0] >= floor), medoid)]
-        qs, vs = [hits[0][0]], [np.full(len(hits[0][0]), medoid)]
-        rows = np.arange(m)
-        while True:
-            best = np.where(opened, -3, score).argmax(axis=1)
-            live = rows[~opened[rows, best]]
-            if not len(live):
-                break
-            opened[live, best[live]] = True
-            new = adj[nodes[live, best[live]]]
-            new = np.where(new < 0, n, new)
-            new = np.where(seen[live[:, None], new], n, new)
-            seen[live[:, None], new] = True
-            s = np.where(new < n, np.einsum("qkd,qd->qk", X[np.minimum(new, n - 1)], Q[live]), -2).astype(np.float32)
-            q, k = np.nonzero(s >= floor)
-            qs.append(live[q])
-            vs.append(new[q, k])
-            all_nodes, all_score = np.concatenate([nodes[live], new], axis=1), np.concatenate([score[live], s], axis=1)
-            all_open = np.concatenate([opened[live], new >= n], axis=1)
-            keep = np.argsort(-all_score, axis=1, kind="stable")[:, :beam]
-            take = np.arange(len(live))[:, None]
-            nodes[live], score[live], opened[live] = all_nodes[take, keep], all_score[take, keep], all_open[take, keep]
-        q, v = np.concatenate(qs), np.concatenate(vs)
-        left.append(q + at)
-        right.append(v)
-        while len(q):
-            u = adj[v]
-            q2, u = np.repeat(q, width), u.ravel()
-            ok = u >= 0
-            q2, u = q2[ok], u[ok]
-            ok = ~seen[q2, u]
-            pair = np.unique(q2[ok] * n + u[ok])
-            q2, u = pair // n, pair % n
-            seen[q2, u] = True
-            hit = np.concatenate([np.einsum("pd,pd->p", Q[q2[k : k + 100_000]], X[u[k : k + 100_000]]) >= floor for k in range(0, len(q2), 100_000)]) if len(q2) else np.zeros(0, bool)
-            q, v = q2[hit], u[hit]
-            left.append(q + at)
-            right.append(v)
-    a, b = np.concatenate(left), np.concatenate(right)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    pair = np.unique(a[a != b] * n + b[a != b])
-    return pair // n, pair % n
+def close(X: np.ndarray, floor: float, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, cosine) with a < b: rows whose cosine, in double precision, is ``floor`` or more. All are compared with all."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(X), chunk):
+        a, b = np.nonzero(X[at : at + chunk] @ X[at:].T >= floor - 1e-5)
+        a, b = a[a < b] + at, b[a < b] + at
+        for k in range(0, len(a), 100_000):
+            A, B = X[a[k : k + 100_000]].astype(np.float64), X[b[k : k + 100_000]].astype(np.float64)
+            cos = np.einsum("pd,pd->p", A, B) / (np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1))
+            ok = cos >= floor
+            found.append((a[k : k + 100_000][ok], b[k : k + 100_000][ok], cos[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 # --- shards of clusters
@@ -183,15 +88,13 @@ def assigned(rows: DataFrame, C: np.ndarray, dim: int, overlap: int) -> DataFram
     return rows.select("id", "vec").mapInArrow(run, f"cluster long, id {kind}, vec array<float>")
 
 
-def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, overlap: int = 2, degree: int = 24, alpha: float = 1.2, beam: int = 48, audit_rows: int = 1024, recall: float = 0.95) -> DataFrame:
+def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, overlap: int = 2, audit_rows: int = 1024, recall: float = 0.95) -> DataFrame:
     """(a, b, cosine), a < b: pairs of vectors with a cosine of ``floor`` or more, with every row as a query.
 
     1. Cluster all rows; each row goes to its ``overlap`` nearest clusters of about ``shard_rows`` rows.
-    2. Build a robust-pruned graph on each cluster and unite the lists of neighbours of each row over its clusters.
-    3. Search in each cluster, over the united lists, from its medoid (:func:`range_search`).
-    4. Audit: for ``audit_rows`` rows, compare with all rows by brute force. If less than ``recall`` of their pairs were
-       found, repeat with one more cluster for each row and twice the beam.
-    5. Verify each pair by its cosine in double precision.
+    2. Compare all rows of each cluster with each other (:func:`close`).
+    3. Audit: for ``audit_rows`` rows, compare with all rows by brute force. If less than ``recall`` of their pairs were
+       found, repeat with one more cluster for each row.
 
     Null, empty, zero and non-finite vectors, vectors of a rarer length and null ids are in no pair; repeated rows of
     an id count once. The centroids that reach every task take 4 bytes for each dimension and cluster.
@@ -218,36 +121,20 @@ def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
     while True:
         parts = written(assigned(rows, C, dim, overlap), "parts")
 
-        def build(table: pa.Table) -> pa.Table:
-            ids = table.column("id").combine_chunks()
-            near = shard_graph(matrix(table.column("vec"), dim), degree, alpha, 2 * shard_rows)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype(np.int32)
-            flat = ids.take(pa.array(np.concatenate(near) if at[-1] else np.zeros(0, np.int64)))
-            return pa.table({"id": ids, "near": pa.ListArray.from_arrays(pa.array(at), flat)})
-
-        graph = parts.groupBy("cluster").applyInArrow(build, f"id {kind}, near array<{kind}>")
-        graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
         def search(table: pa.Table) -> pa.Table:
             table = table.sort_by("id")
-            ids, X = table.column("id").combine_chunks(), matrix(table.column("vec"), dim)
-            place = {x: k for k, x in enumerate(ids.to_pylist())}
-            near = [np.array([place[y] for y in x if y in place], np.int64) for x in table.column("near").to_pylist()]
-            a, b = range_search(X, near, floor - 1e-5, beam)
-            Y = X.astype(np.float64)
-            Y /= np.linalg.norm(Y, axis=1, keepdims=True)
-            cos = np.concatenate([np.einsum("pd,pd->p", Y[a[j : j + 100_000]], Y[b[j : j + 100_000]]) for j in range(0, len(a), 100_000)]) if len(a) else np.zeros(0)
-            ok = cos >= floor
-            return pa.table({"a": ids.take(pa.array(a[ok])), "b": ids.take(pa.array(b[ok])), "cosine": pa.array(cos[ok])})
+            ids = table.column("id").combine_chunks()
+            a, b, cos = close(matrix(table.column("vec"), dim), floor)
+            return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "cosine": pa.array(cos)})
 
-        found = parts.join(graph, "id").groupBy("cluster").applyInArrow(search, f"a {kind}, b {kind}, cosine double")
+        found = parts.groupBy("cluster").applyInArrow(search, f"a {kind}, b {kind}, cosine double")
         found = written(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "pairs")
         got = truth.join(found, ["a", "b"], "left_semi").count()
         drop_written(parts)
         if got >= recall * due or overlap >= len(C):
             return found
         drop_written(found)
-        overlap, beam = overlap + 1, beam * 2
+        overlap += 1
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", **how) -> DataFrame:

@@ -227,6 +227,27 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0 and vectors.near_duplicates(df.where("vec_id = 1")).count() == 0
 
 
+def planted_vectors(seed, group, pairs, cosine):
+    """A hot group of near copies that are equally far from each other, then pairs of about this cosine; the true pairs."""
+    r = np.random.default_rng(seed)
+    hot = r.normal(size=64) + r.normal(size=(group, 64)) * 0.1
+    a, b = r.normal(size=(2, pairs, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b *= np.tan(np.arccos(cosine)) / np.linalg.norm(b, axis=1, keepdims=True)
+    X = np.concatenate([hot, a, a + b]).astype(np.float32)
+    U = X.astype(np.float64) / np.linalg.norm(X.astype(np.float64), axis=1, keepdims=True)
+    true = {(int(x), int(y)) for x, y in zip(*np.nonzero(np.triu(U @ U.T >= 0.95, 1)))}
+    assert len(true) >= group * (group - 1) // 2 + pairs
+    return [(k, [float(v) for v in x]) for k, x in enumerate(X)], true
+
+
+def test_vectors_beside_a_closed_group(spark):
+    rows, true = planted_vectors(13, 300, 100, 0.97)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {(x.a, x.b) for x in vectors.near_pairs(df).collect()} == true
+
+
 # --- 7
 
 
