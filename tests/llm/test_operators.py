@@ -248,6 +248,20 @@ def test_vectors_beside_a_closed_group(spark):
     assert {(x.a, x.b) for x in vectors.near_pairs(df).collect()} == true
 
 
+def poor_centroids(rows, dim, k):
+    X = np.random.default_rng(16).normal(size=(k, dim)).astype(np.float32)
+    return X / np.linalg.norm(X, axis=1, keepdims=True)
+
+
+def test_vectors_audit_weighs_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "centroids", poor_centroids)
+    rows, true = planted_vectors(15, 150, 150, 0.951)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    apart = {p for p in true if min(p) >= 150}
+    found = {(x.a, x.b) for x in vectors.near_pairs(df, shard_rows=5).collect()}
+    assert found <= true and len(found & apart) >= 0.95 * len(apart)
+
+
 # --- 7
 
 
