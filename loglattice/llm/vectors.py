@@ -1,4 +1,4 @@
-"""Near duplicates among embeddings, compared with all others of their clusters."""
+"""Near duplicates among embeddings: all pairs, by clusters that share their borders or by blocks."""
 
 from __future__ import annotations
 
@@ -80,28 +80,52 @@ def centroids(rows: DataFrame, dim: int, k: int) -> np.ndarray:
     return C
 
 
-def assigned(rows: DataFrame, C: np.ndarray, dim: int, overlap: int) -> DataFrame:
-    """(cluster, id, vec): each row in the ``overlap`` clusters whose centroids are nearest."""
-    m = min(overlap, len(C))
+def members(X: np.ndarray, C: np.ndarray, floor: float) -> np.ndarray:
+    """(rows, clusters): whether the cluster may hold the middle of the row and any other within ``floor`` of it.
+
+    The middle of such a pair is at most ``half`` from both. Where its nearest centroid is c, the row is at most ``half``
+    beyond the plane between c and any other centroid, so both rows of the pair are in c. Tested for the row's nearest few.
+    """
+    half = np.sqrt((1 - floor) / 2)
+    S = X @ C.T
+    rows, near = np.arange(len(X)), np.argsort(-S, axis=1)[:, :8]
+    may = np.ones(S.shape, bool)
+    for j in near.T:
+        between = np.sqrt(np.maximum((C * C).sum(axis=1)[None, :] + (C * C).sum(axis=1)[j][:, None] - 2 * C[j] @ C.T, 0))
+        may &= S - S[rows, j][:, None] >= -half * between - 1e-3
+    return may
+
+
+def clustered(rows: DataFrame, C: np.ndarray, dim: int, floor: float) -> DataFrame:
+    """(part, side, id, vec): each row in all clusters that :func:`members` gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            X = matrix(batch.column(1), dim)
-            near = np.argsort(-(X @ C.T), axis=1, kind="stable")[:, :m]
-            at = pa.array(np.repeat(np.arange(len(X)), m))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column(0).take(at), batch.column(1).take(at)], ["cluster", "id", "vec"])
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                k, c = np.nonzero(members(matrix(some.column(1), dim), C, floor))
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.full(len(c), -1, np.int32)), some.column(0).take(pa.array(k)), some.column(1).take(pa.array(k))], ["part", "side", "id", "vec"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "vec").mapInArrow(run, f"cluster long, id {kind}, vec array<float>")
+    return rows.select("id", "vec").mapInArrow(run, f"part long, side int, id {kind}, vec array<float>")
 
 
-def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, overlap: int = 2, audit_rows: int = 1024, recall: float = 0.95) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of vectors with a cosine of ``floor`` or more, with every row as a query.
+def blocked(rows: DataFrame, m: int) -> DataFrame:
+    """(part, side, id, vec): ``m`` blocks by hash, a part for each two; side tells them apart and is -1 for a block with itself."""
+    b = rows.select("id", "vec", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(m)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    return b.select((F.least("b", "j") * m + F.greatest("b", "j")).alias("part"), F.expr("case when b = j then -1 when b < j then 0 else 1 end").alias("side"), "id", "vec")
 
-    1. Cluster all rows; each row goes to its ``overlap`` nearest clusters of about ``shard_rows`` rows.
-    2. Compare all rows of each cluster with each other (:func:`close`).
-    3. Audit: compare ``audit_rows`` rows with all rows by brute force. If of the pairs of an audited row, in the mean
-       over those that have any, less than ``recall`` were found, repeat with one more cluster for each row.
+
+def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, audit_rows: int = 1024, recall: float = 0.95) -> DataFrame:
+    """(a, b, cosine), a < b: all pairs of vectors with a cosine of ``floor`` or more.
+
+    1. Cluster all rows, about ``shard_rows`` to a centroid; each row goes to every cluster in which a pair of it may
+       have its middle (:func:`members`), so that every pair has a common cluster.
+    2. Where ``audit_rows`` rows show that this saves less than half of all comparisons, as for vectors without
+       clusters, compare blocks of rows instead, each with each. That takes time by the square of the rows.
+    3. Compare all rows of each cluster, or of each two blocks (:func:`close`).
+    4. Audit: compare the ``audit_rows`` rows with all rows by brute force. If of the pairs of an audited row, in the
+       mean over those that have any, less than ``recall`` were found, repeat by blocks; if it was by blocks, fail.
 
     Null, empty, zero and non-finite vectors, vectors of a rarer length and null ids are in no pair; repeated rows of
     an id count once. The centroids that reach every task take 4 bytes for each dimension and cluster.
@@ -124,27 +148,33 @@ def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
 
     truth = rows.select("id", "vec").mapInArrow(audit, f"x {kind}, y {kind}").where("x <> y")
     truth = written(truth.select(F.col("y").alias("asked"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "audit")
-    while True:
-        parts = written(assigned(rows, C, dim, overlap), "parts")
-
-        def search(table: pa.Table) -> pa.Table:
-            table = table.sort_by("id")
-            ids = table.column("id").combine_chunks()
-            X = matrix(table.column("vec"), dim)
-            a, b, cos = close(X, X, floor, same=True)
-            return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "cosine": pa.array(cos)})
 
-        found = parts.groupBy("cluster").applyInArrow(search, f"a {kind}, b {kind}, cosine double")
+    def search(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, X = table.column("id").combine_chunks(), matrix(table.column("vec"), dim)
+        if side[0] < 0:
+            x, y, cos = close(X, X, floor, same=True)
+        else:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            x, y, cos = close(X[left], X[right], floor)
+            x, y = left[x], right[y]
+        return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y)), "cosine": pa.array(cos)})
+
+    # at most 32 MB of vectors in a block, and enough blocks for all cores
+    ways = [blocked(rows, max(min(8, k), -(-n * dim * 4 // 2**25)))]
+    share = sum(members(S[at : at + 512], C, floor).sum(axis=0) for at in range(0, len(S), 512)) / len(S)
+    if (share**2).sum() < 0.5:
+        ways.insert(0, clustered(rows, C, dim, floor))
+    for parts in ways:
+        found = parts.groupBy("part").applyInArrow(search, f"x {kind}, y {kind}, cosine double")
+        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
         found = written(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "pairs")
         each = truth.join(found, ["a", "b"], "left").groupBy("asked").agg(F.avg(F.col("cosine").isNotNull().cast("int")).alias("share"))
         got = each.agg(F.avg("share")).first()[0]
-        drop_written(parts)
         if got is None or got >= recall:
             return found
         drop_written(found)
-        if overlap >= len(C):
-            raise RuntimeError(f"all rows were compared, but the mean recall of the audited rows is {got:.3f}")
-        overlap += 1
+    raise RuntimeError(f"all rows were compared, but the mean recall of the audited rows is {got:.3f}")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", **how) -> DataFrame:

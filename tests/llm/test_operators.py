@@ -262,6 +262,20 @@ def test_vectors_audit_weighs_rows_alike(spark, monkeypatch):
     assert found <= true and len(found & apart) >= 0.95 * len(apart)
 
 
+def test_vectors_finds_pairs_across_clusters(spark, monkeypatch):
+    rows, true = planted_vectors(17, 60, 400, 0.951)
+    X = np.array([x for _, x in rows], np.float32)
+    X /= np.linalg.norm(X, axis=1, keepdims=True)
+    C = poor_centroids(None, 64, 40)
+    may = vectors.members(X, C, 0.95)
+    assert all((may[a] & may[b]).any() for a, b in true) and not may.all()
+    monkeypatch.setattr(vectors, "centroids", poor_centroids)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {(x.a, x.b) for x in vectors.near_pairs(df, shard_rows=10).collect()} == true
+    monkeypatch.setattr(vectors, "blocked", lambda rows, m: vectors.clustered(rows, C, 64, 0.95))
+    assert {(x.a, x.b) for x in vectors.near_pairs(df, shard_rows=10).collect()} == true
+
+
 # --- 7
 
 
