@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import Engine
+from .sources.shared import shared_dir
 
 
 @dataclass(frozen=True)
@@ -125,8 +126,7 @@ def _text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as lines of text and read again as files."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/loglattice-text"
-    path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
     return Engine(spark).query_text('* | parse "the * " as w noconvert | count by w', path).df(ordered=False)
 
