@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A folder of our own only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loglattice-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..sources.shared import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,6 +50,10 @@ def columns(names) -> list:
     return [column(c) for c in names]
 
 
+#: what Python's ``str.split`` takes for blank, as a class of a Java regular expression
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 class WordHashes(dict):
     """Word to 64-bit hash, remembered for the words seen so far and emptied when it grows too large."""
 

@@ -39,7 +39,8 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"), copy_col="copy").select("doc_id", "source", "copy")
+    """Sources mixed to given weights."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"), targets=mixing.TARGETS, other=mixing.OTHER, copy_col="copy").select("doc_id", "source", "copy")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def test_quality_filter(spark, empty):
 
 def test_token_counts_are_those_of_whole_texts(spark, empty):
     r = random.Random(3)
-    parts = ["a", "bb", " ", "  ", "\n", "é", "日本", "'re", "'", "123", ".", "!?", "\t", "　", "x'll", "   \n", "\U0001f600"]
+    parts = ["a", "bb", " ", "  ", "\n", "é", "日本", "'re", "'", "123", ".", "!?", "\t", "　", "x'll", "   \n", "\U0001f600", " " * 5000, "\n" * 4097]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 2500))) for _ in range(60)] + ["a" * 3000, "é" * 2000, " " * 1500] + AWKWARD
     enc, _ = tokens.encoder(tokens.VOCABULARY)
     got = {x.doc_id: (x.tokens, x.chunks) for x in tokens.token_counts(table(spark, texts, extra=True), chunk=200, overlap=16).collect()}
@@ -94,6 +94,8 @@ def test_token_counts_are_those_of_whole_texts(spark, empty):
         assert got[k][0] == (None if t is None else len(enc.encode_ordinary(t)))
     assert max(c for _, c in got.values()) > 5 and got[len(texts) - len(AWKWARD)] == (None, 0)
     assert tokens.token_counts(empty).count() == 0
+    blank = table(spark, [" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b"])
+    assert [x.tokens for x in tokens.token_counts(blank).orderBy("doc_id").collect()] == [2_000_000, 1_000_000, 2_000_002]
 
 
 # --- 3
@@ -290,12 +292,21 @@ def test_mixing(spark, empty):
     con = duckdb.connect()
     con.register("pdf", docs.select("doc_id", "source", "n_chars").toPandas())
     con.sql("create view documents as select doc_id, source, n_chars::bigint as n_chars from pdf")
-    want = sorted(con.sql(mixing.MIX_SQL).fetchall(), key=str)
+    want = sorted(con.sql(mixing.ROOTS_SQL).fetchall(), key=str)
     assert sorted((tuple(x) for x in mixing.mix_sources(docs, copy_col="copy").select("doc_id", "source", "copy").collect()), key=str) == want
     twice = docs.where("doc_id < 20").union(docs.where("doc_id < 20"))
     assert mixing.mix_sources(twice, targets={"a": 1}).count() > 0
     odd = table(spark, AWKWARD, ids=[None, *range(8)])
     assert mixing.mix_sources(odd).count() == 9
+    # sizes are exact whatever the ids: null ids, equal rows, repeated ids with texts of their own
+    texts = ["same"] * 300 + [f"null {k}" for k in range(300)] + ["x"] * 200 + [f"y {k}" for k in range(200)] + ["z"] * 200
+    ids = [None] * 600 + [7] * 400 + [*range(100, 300)]
+    odd = table(spark, texts, ids=ids, sources=[r.choice("ab") for _ in texts], extra=True)
+    for seed in "12":
+        rows = mixing.mix_sources(odd, targets={"a": 1}, other=1, total=500, seed=seed, copy_col="n").collect()
+        assert len(rows) == 500 and sum(x.source == "a" for x in rows) == 250
+        again = mixing.mix_sources(odd.repartition(7), targets={"a": 1}, other=1, total=500, seed=seed, copy_col="n").collect()
+        assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.mix_sources(empty).count() == 0
 
 
