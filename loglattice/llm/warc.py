@@ -6,13 +6,13 @@ import base64
 import hashlib
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column, shared_dir, written
 
@@ -75,44 +75,77 @@ class _File:
         return [(k, u, self.name, a, n, d, self.size, self.sha.hexdigest()) for k, u, a, n, d in self.rows]
 
 
-def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 16 << 20, bucket_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
+#: at most about so many keys come to the driver, and so many tasks write
+SAMPLE, TASKS = 131_072, 32_768
+
+
+def _key(pages: DataFrame, id_col: str, url_col: str) -> Column:
+    """(url, id) as one text in whose order records stand: nulls first, whole numbers by their value."""
+    ids = column(id_col)
+    shown = ids.cast("string")
+    if isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        shown = F.lpad((ids.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    part = lambda c: F.when(c.isNull(), "0").otherwise(F.concat(F.lit("1"), c))
+    return F.concat(part(column(url_col)), F.lit("\x00"), part(shown))
+
+
+def _edges(rows: DataFrame, bucket_bytes: int) -> tuple[list[str], int]:
+    """(first keys of all buckets but the first, number of buckets), from a sample of rows by the hash of their key.
+
+    Buckets hold about ``bucket_bytes`` of text each, more where there would be over TASKS of them. The sample depends
+    on the rows alone, and has some SAMPLE distinct keys at most.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 512
+    total, n = rows.agg(F.sum(size), F.count(F.lit(1))).first()
+    buckets = min(TASKS, max(1, -(-(total or 0) // bucket_bytes)))
+    if buckets == 1:
+        return [], 1
+    share = min(1.0, min(64 * buckets, SAMPLE) / n)
+    kept = rows.where(F.xxhash64("key") <= min(2**63 - 1, int(share * 2.0**64) - 2**63)).groupBy("key").agg(F.sum(size).alias("size"))
+    keys = sorted((r["key"].encode("utf-8", "surrogatepass"), r["size"]) for r in kept.collect())
+    due, seen, edges = sum(z for _, z in keys) / buckets, 0, []
+    for key, z in keys:
+        if seen >= due * (len(edges) + 1):
+            edges.append(key)
+        seen += z
+    return edges, len(edges) + 1
+
+
+def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20, date: str = DATE) -> DataFrame:
     """Write ``pages`` as WARC files to ``path`` and return the index: (id, url, file, offset, length, digest).
 
-    1. Splitters come from the rows whose hash is a multiple of a step: the same ones for the same rows. They cut
-       the order of (url, id) into buckets of about ``bucket_bytes`` of text.
-    2. Each bucket is sorted by url, id and text and written in this order, one gzip member for each record. Once a
-       file has ``roll_bytes`` of compressed bytes, the next one begins.
+    1. Splitters come from the rows whose key, (url, id), has one of the lowest hashes: the same ones for the same
+       rows. They cut the order of keys into buckets of about ``bucket_bytes`` of text (:func:`_edges`).
+    2. Each bucket goes to the task of its number, is sorted by key and text and written in this order, one gzip member
+       for each record. Once a file has ``roll_bytes`` of compressed bytes, the next one begins.
     3. A file is written under a temporary name and moved to its own when complete. Attempts of the same task write
        the same bytes, so that a lost executor leaves nothing but a file in ``_temporary``, removed at the end.
     4. ``manifest`` lists the files with sizes, counts and SHA-1. It is written last, also under a temporary name: files
        count only if it is there.
 
     Headers, lengths, digests and record ids are made anew. Nulls sort first; a null url becomes ``urn:none`` and a
-    null page an empty payload. Repeated rows have a record each. No rows make an empty manifest and no file.
+    null page an empty payload. Rows of one url are spread by their ids; repeated rows have a record each, next to each
+    other. No rows make an empty manifest and no file.
     """
     spark = pages.sparkSession
     path = (path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
     if ":" not in path.split("/")[0]:
         path = "file://" + path
-    rows = pages.select(column(id_col).alias("id"), column(url_col).alias("url"), column(html_col).alias("html"))
-    total, n = rows.agg(F.sum(F.octet_length("html").cast("long")), F.count(F.lit(1))).first()
-    buckets = max(1, -(-(total or 0) // bucket_bytes))
-    edges: list[tuple] = []
+    rows = pages.select(column(id_col).alias("id"), column(url_col).alias("url"), column(html_col).alias("html"), _key(pages, id_col, url_col).alias("key"))
     kind = pages.schema[id_col].dataType
-    if buckets > 1:
-        step = max(1, n // (64 * buckets))
-        sample = rows.where(F.pmod(F.xxhash64("url", "id"), F.lit(step)) == 0).select("url", "id").collect()
-        keys = sorted(_key(u, i) for u, i in sample)
-        edges = sorted({keys[k * len(keys) // buckets] for k in range(1, buckets)}) if keys else []
+    edges, buckets = _edges(rows, bucket_bytes)
 
     @F.pandas_udf("int")
-    def bucket(url, key):
+    def bucket(key):
+        import numpy as np
         import pandas as pd
 
-        return pd.Series([bisect_right(edges, _key(u, None if i != i else i)) for u, i in zip(url, key)], dtype="int32")
+        asked = np.array([k.encode("utf-8", "surrogatepass") for k in key], object)
+        return pd.Series(np.searchsorted(np.array(edges, object), asked, "right").astype("int32"))
 
-    placed = rows.withColumn("bucket", bucket("url", "id") if edges else F.lit(0)).repartitionByRange(buckets, "bucket")
-    order = placed.sortWithinPartitions("bucket", F.asc_nulls_first("url"), F.asc_nulls_first("id"), F.asc_nulls_first("html"))
+    placed = rows.withColumn("bucket", bucket("key") if edges else F.lit(0))
+    order = placed.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "key", F.asc_nulls_first("html"))
+    order = order.select("id", "url", "html", "bucket")
     names = ["id", "url", "file", "offset", "length", "digest", "size", "sha1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +156,8 @@ def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page
 
         for batch in batches:
             types = [batch.schema.field("id").type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-            for key, url, html, b in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "html", "bucket"))):
+            for k in range(len(batch)):
+                key, url, html, b = (c[k].as_py() for c in batch.columns)
                 if out and (b != at[0] or out.size >= roll_bytes):
                     yield done(out.commit())
                     out = None
@@ -146,10 +180,6 @@ def write_warc(pages: DataFrame, path: str | None = None, *, id_col: str = "page
     return index.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "file", "offset", "length", "digest")
 
 
-def _key(url, key) -> tuple:
-    return (url is not None, url or "", key is not None, key if key is not None else 0)
-
-
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, block) of each gzip member of a WARC file."""
     at = 0

@@ -335,6 +335,18 @@ def test_warc_round_trip(spark, tmp_path, bucket_bytes):
     assert warc.write_warc(pages.limit(0), str(tmp_path / "c")).count() == 0
 
 
+def test_warc_is_the_same_for_large_ids_of_one_url(spark, tmp_path):
+    r = random.Random(18)
+    rows = [(2**60 + k, "http://one/", words(r, 60)) for k in range(400)] + [(None, "http://one/", "x"), (2**60 + 7, "http://one/", "long " * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = []
+    for n in (1, 8):
+        index = warc.write_warc(pages.repartition(n), str(tmp_path / str(n)), roll_bytes=20000, bucket_bytes=200_000)
+        assert {x.page_id for x in index.collect()} == {i for i, _, _ in rows}
+        files.append({p.rsplit("/", 1)[1]: open(p, "rb").read() for p in glob.glob(f"{tmp_path}/{n}/*.warc.gz")})
+    assert files[0] == files[1] and len({f.split("-")[1] for f in files[0]}) > 2
+
+
 # --- 9
 
 
