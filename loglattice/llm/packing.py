@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import column, written
 
-#: permitted lengths, in bytes of UTF-8
-CAPACITIES = (2048, 4096, 8192, 16384)
+#: permitted lengths, in tokens
+CAPACITIES = (512, 1024, 2048, 4096)
 #: a sequence of length L costs OVERHEAD + L + L²/ATTENTION
-OVERHEAD, ATTENTION = 256, 65536
+OVERHEAD, ATTENTION = 64, 16384
 
 
 def cost(length: int) -> float:
@@ -43,7 +46,7 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tupl
     """(bin of each item, capacity of each bin, contents of each bin), for ``sizes`` in decreasing order.
 
     Each item goes where it leaves the least space. If it fits nowhere, the bin opened is the one of least cost: its
-    own cost less what its free space is worth, at the best price for a byte, as far as items are left to fill it.
+    own cost less what its free space is worth, at the best price for a token, as far as items are left to fill it.
     The same is done with one length alone wherever it is long enough, for each permitted length; of these packings
     the one of least cost is taken. Costs count each bin at the smallest permitted length that holds its contents, to
     which it is cut down at the end.
@@ -65,43 +68,78 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tupl
     return best[1:]
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_bytes: int = 64 << 20) -> DataFrame:
-    """(bin, capacity, used, position, doc_id, piece, start, length): where the bytes of every text go.
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text")).where("text <> ''")
 
-    Lengths are bytes of UTF-8. A text longer than the largest capacity is cut into pieces of that length and a
-    rest; ``start`` is a piece's first byte and ``position`` its place in the bin. Documents are spread by a hash of
-    the id over shards of about ``shard_bytes``, at any size of the input, and each shard is packed on its own: only
+
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = 16 << 20, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """(bin, capacity, used, position, doc_id, text_hash, piece, start, length): where the tokens of every text go.
+
+    Lengths are tokens of whole texts (:func:`loglattice.llm.tokens.encoded`). A text longer than the largest
+    capacity is cut into pieces of that length and a rest; ``start`` is a piece's first token and ``position`` its
+    place in the bin. :func:`sequences` puts the tokens there. Documents are spread by a hash of id, text and number of
+    the copy over shards of about ``shard_tokens``, at any size of the input, and each shard is packed on its own: only
     lengths are shuffled, and no bin spans shards.
 
-    Null and empty texts take no space and have no row. Repeated rows are packed once for each row; null ids are
-    packed like others. The same rows give the same bins.
+    Null and empty texts have no tokens and no row. Repeated rows are packed once for each row, null ids like others;
+    both are spread over all shards. The same rows give the same bins.
     """
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
     kind = docs.schema[id_col].dataType
-    size = F.octet_length(column(text_col)).cast("long")
-    sizes = written(docs.select(column(id_col).alias("doc_id"), size.alias("size")).where("size > 0"), "sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(map(len, tokens.encoded(t.as_py(), vocabulary))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "text_hash", "size"])
+
+    sizes = _keys(docs, id_col, text_col).mapInArrow(measured, f"doc_id {kind.simpleString()}, text_hash long, size long")
+    sizes = written(sizes.groupBy("doc_id", "text_hash", "size").count(), "sizes")
+    total = sizes.agg(F.sum(F.col("size") * F.col("count"))).first()[0] or 0
+    shards = max(1, -(-total // shard_tokens))
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
+        table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
         items = []
         for k, n in enumerate(table.column("size").to_pylist()):
             items += [(min(most, n - a), k, a // most, a) for a in range(0, n, most)]
-        ids = table.column("doc_id").to_pylist()
-        order = {k: r for r, k in enumerate(sorted(range(len(ids)), key=lambda k: (ids[k] is not None, ids[k] if ids[k] is not None else 0)))}
-        items.sort(key=lambda x: (-x[0], order[x[1]], x[2]))
+        items.sort(key=lambda x: (-x[0], x[1], x[2]))
         at, final, used = best_fit([x[0] for x in items], capacities)
-        fill = [0] * len(final)
-        rows = []
-        for (n, k, piece, a), b in zip(items, at):
-            rows.append((shard << 32 | b, final[b], used[b], fill[b], ids[k], piece, a, n))
+        fill, position = [0] * len(final), []
+        for (n, *_), b in zip(items, at):
+            position.append(fill[b])
             fill[b] += n
-        names = ["bin", "capacity", "used", "position", "doc_id", "piece", "start", "length"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), table.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int32()]
-        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(names, types))})
-
-    spread = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long"))
-    schema = f"bin long, capacity int, used int, position int, doc_id {kind.simpleString()}, piece int, start long, length int"
+        at = np.array(at, np.int64)
+        n, k, piece, start = (np.array(x, np.int64) for x in zip(*items))
+        cols = {"bin": shard << 32 | at, "capacity": np.array(final, np.int32)[at], "used": np.array(used, np.int32)[at], "position": np.array(position, np.int32)}
+        kept = table.select(["doc_id", "text_hash"]).take(pa.array(k))
+        return pa.table({**cols, "doc_id": kept.column(0), "text_hash": kept.column(1), "piece": piece.astype(np.int32), "start": start, "length": n.astype(np.int32)})
+
+    spread = sizes.select("doc_id", "text_hash", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"))
+    spread = spread.select("doc_id", "text_hash", "size", F.pmod(F.xxhash64("doc_id", "text_hash", "copy"), F.lit(shards)).cast("long").alias("shard"))
+    schema = f"bin long, capacity int, used int, position int, doc_id {kind.simpleString()}, text_hash long, piece int, start long, length int"
     return spread.groupBy("shard").applyInArrow(run, schema)
+
+
+def sequences(docs: DataFrame, placed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """(bin, capacity, doc_ids, tokens): the sequences that :func:`pack` laid out, with the ids of the documents in them.
+
+    Each document is encoded once and cut where ``pack`` cut it; the pieces, of which none is longer than a sequence,
+    are shuffled to their bins. Rows without text have no part in it; repeated rows are there as often as placed.
+    """
+    most = max(capacities)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in enumerate(batch.column(2)):
+                flat = np.concatenate(list(tokens.encoded(text.as_py(), vocabulary))).astype(np.int32)
+                at = np.append(np.arange(0, len(flat), most), len(flat)).astype(np.int32)
+                rows = pa.array(np.full(len(at) - 1, k))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.arange(len(at) - 1, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["d", "h", "p", "tokens"])
+
+    pieces = _keys(docs, id_col, text_col).mapInArrow(cut, f"d {kind}, h long, p int, tokens array<int>").dropDuplicates(["d", "h", "p"])
+    both = placed.join(pieces, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("piece") == F.col("p")))
+    parts = both.groupBy("bin", "capacity").agg(F.sort_array(F.collect_list(F.struct("position", "doc_id", "tokens"))).alias("parts"))
+    return parts.select("bin", "capacity", F.col("parts.doc_id").alias("doc_ids"), F.flatten("parts.tokens").alias("tokens"))

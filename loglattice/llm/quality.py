@@ -12,18 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, columns, fresh, mixed
+from .common import BLANK, column, columns, fresh, mixed
 
 CLASSES = ("clean", "low", "toxic")
-#: stands for a word that repeats the one before it
-AGAIN = "\x00again"
 #: words of no score added to each average, so that a single word decides little
 PAD = 8
+BUCKETS = 1 << 18
 
 
 def features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(feature, word): for each word its own bucket and those of its runs of 3 to 6 characters, its ends marked."""
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+    own = (hashes(words) % np.uint64(buckets)).astype(np.int64)
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), size)
@@ -40,11 +39,33 @@ def features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(of)
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a text, and :data:`AGAIN` beside each that repeats the one before it."""
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def pairs(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each two words that follow each other, from the hashes of all words."""
+    with np.errstate(over="ignore"):
+        return (mixed(h[:-1] * np.uint64(31) + h[1:]) % np.uint64(buckets)).astype(np.int64)
+
+
+def vector(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) of a text: the mean of its words and pairs of words, a word being the mean of its features."""
     words = text.split()
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    return words + [AGAIN] * again
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    total = np.zeros(buckets, np.float64)
+    names, at = np.unique(np.array(words, object), return_inverse=True)
+    names = names.tolist()
+    many = np.bincount(at, minlength=len(names))
+    for k in range(0, len(names), 10_000):
+        f, word = features(names[k : k + 10_000], buckets)
+        size = np.bincount(word, minlength=min(10_000, len(names) - k))
+        total += np.bincount(f, (many[k : k + 10_000] / size)[word], buckets)
+    total += np.bincount(pairs(hashes(names)[at], buckets), minlength=buckets)
+    f = np.flatnonzero(total)
+    return f.astype(np.int32), (total[f] / (n + PAD)).astype(np.float32)
 
 
 @dataclass
@@ -61,58 +82,30 @@ class Model:
         return np.stack([np.bincount(word, self.scores[f, k], len(words)) for k in range(len(CLASSES))], axis=1) / n[:, None]
 
 
-def train(texts: list[str], classes: np.ndarray, *, dim: int = 10, buckets: int = 1 << 17, least_docs: int = 5, epochs: int = 15, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
-    """Stochastic gradient descent on the cross-entropy, with Adagrad steps; the same texts give the same model.
+def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *, dim: int = 10, buckets: int = BUCKETS, least_docs: int = 5, epochs: int = 15, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
+    """Stochastic gradient descent on the cross-entropy, with Adagrad steps; the same vectors give the same model.
 
     Features of fewer than ``least_docs`` documents count as 0.
     """
-    bags: list[tuple[np.ndarray, np.ndarray, int]] = []
-    index: dict[str, int] = {}
-    for text in texts:
-        bag: dict[str, int] = {}
-        words = words_of(text)
-        for w in words:
-            bag[w] = bag.get(w, 0) + 1
-        bags.append((np.array([index.setdefault(w, len(index)) for w in bag], np.int32), np.array(list(bag.values()), np.int32), len(words)))
-    names, parts, many = list(index), [], np.zeros(len(index), np.int64)
-    del index
-    for at in range(0, len(names), 10_000):
-        f, word = features(names[at : at + 10_000], buckets)
-        order = np.argsort(word, kind="stable")
-        parts.append(f[order].astype(np.int32))
-        many[at : at + 10_000] = np.bincount(word, minlength=len(names[at : at + 10_000]))
-    del names
-    f = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    del parts
-    begin = np.cumsum(many) - many
-    feats, weights = [], []
-    for ids, counts, n in bags:
-        size = many[ids]
-        at = np.repeat(begin[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        u, inverse = np.unique(f[at], return_inverse=True)
-        feats.append(u)
-        weights.append(np.bincount(inverse, np.repeat(counts / (n + PAD) / size, size), len(u)).astype(np.float32))
-    del f, bags
     docs_with = np.zeros(buckets, np.int32)
-    for u in feats:
-        docs_with[u] += 1
+    for f, _ in vectors:
+        docs_with[f] += 1
     common = docs_with >= least_docs
-    for k, u in enumerate(feats):
-        feats[k], weights[k] = u[common[u]], weights[k][common[u]]
+    vectors = [(f[common[f]], w[common[f]]) for f, w in vectors]
     rng = np.random.default_rng(seed)
     E = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     W = rng.uniform(-1 / dim, 1 / dim, (dim, len(CLASSES))).astype(np.float32)
     b = np.zeros(len(CLASSES), np.float32)
     gE, gW, gb = np.full(buckets, 1e-10, np.float32), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
     target = np.eye(len(CLASSES), dtype=np.float32)[classes]
-    some = np.array([k for k in range(len(texts)) if len(feats[k])], np.int64)
+    some = np.array([k for k, (f, _) in enumerate(vectors) if len(f)], np.int64)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(some)
         for at in range(0, len(some), batch):
             rows = some[at : at + batch]
-            size = np.array([len(feats[k]) for k in rows])
-            f, v = np.concatenate([feats[k] for k in rows]), np.concatenate([weights[k] for k in rows])
+            size = np.array([len(vectors[k][0]) for k in rows])
+            f, v = (np.concatenate([vectors[k][j] for k in rows]) for j in (0, 1))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             h = np.add.reduceat(E[f] * v[:, None], start, axis=0)
             z = h @ W + b
@@ -137,56 +130,75 @@ def train(texts: list[str], classes: np.ndarray, *, dim: int = 10, buckets: int
 def probabilities(model: Model, batches: Iterator[list[str | None]], limit: int = 300_000) -> Iterator[np.ndarray]:
     """Class probabilities for each text; NaN for texts that are null or have no words."""
     at: dict[str, int] = {}
-    table = np.empty((4096, len(CLASSES)), np.float64)
+    table, known = np.empty((4096, len(CLASSES)), np.float64), np.empty(4096, np.uint64)
     for texts in batches:
         out = np.full((len(texts), len(CLASSES)), np.nan)
         for k, text in enumerate(texts):
-            words = words_of(text) if text else []
+            words = text.split() if text else []
             if not words:
                 continue
             total = np.zeros(len(CLASSES))
             for a in range(0, len(words), 100_000):
-                part = words[a : a + 100_000]
+                part = words[max(0, a - 1) : a + 100_000]  # one word of the part before, for the pair with it
                 new = set(part).difference(at)
                 if new:
                     if len(at) + len(new) > limit:
                         at.clear()
                         new = set(part)
                     while len(at) + len(new) > len(table):
-                        table = np.concatenate([table, np.empty_like(table)])
+                        table, known = np.concatenate([table, np.empty_like(table)]), np.concatenate([known, np.empty_like(known)])
                     new = sorted(new)
-                    table[len(at) : len(at) + len(new)] = model.of(new)
-                    at.update(zip(new, range(len(at), len(at) + len(new))))
-                total += table[np.fromiter(map(at.__getitem__, part), np.int64, len(part))].sum(axis=0)
+                    rows = slice(len(at), len(at) + len(new))
+                    table[rows], known[rows] = model.of(new), hashes(new)
+                    at.update(zip(new, range(rows.start, rows.stop)))
+                which = np.fromiter(map(at.__getitem__, part), np.int64, len(part))
+                total += table[which[min(a, 1) :]].sum(axis=0) + model.scores[pairs(known[which], len(model.scores))].sum(axis=0, dtype=np.float64)
             out[k] = total / (len(words) + PAD) + model.bias
         z = np.exp(out - out.max(axis=1, keepdims=True))
         yield z / z.sum(axis=1, keepdims=True)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000) -> Model | None:
-    """A model from ``labels`` (doc_id, quality, toxic). None if there is nothing to tell apart.
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", train_rows: int = 4000, train_chars: int = 32_000_000) -> Model | None:
+    """A model from ``labels`` (id, quality, toxic). None if there is nothing to tell apart.
 
-    It is fitted on at most ``train_rows`` labelled documents, those whose ids hash lowest. Rows whose text or label
-    is null teach nothing; of several labels or texts of one document one is used. Toxic wins over low.
+    It is fitted on at most ``train_rows`` labelled documents, those whose ids hash lowest, of ``train_chars``
+    characters together at most: one that would go beyond is passed over. Whole texts become vectors in tasks; the
+    driver sees only these. Rows whose text or label is null teach nothing; of several labels or texts of one
+    document one is used. Toxic wins over low.
     """
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
-    marks = labels.select(F.col("doc_id").alias("id"), kind.alias("kind")).where("id is not null and kind is not null").groupBy("id").agg(F.max("kind").alias("kind"))
+    marks = labels.select(column(label_id_col).alias("id"), kind.alias("kind")).where("id is not null and kind is not null").groupBy("id").agg(F.max("kind").alias("kind"))
     texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("id is not null and text is not null")
     # labels are ranked first, so that texts are joined with few rows; those without a document are passed over
-    present = texts.select("id").distinct().join(marks, "id")
-    chosen = present.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    rows = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("kind").alias("kind")).orderBy("id").collect()
-    classes = np.array([r["kind"] for r in rows], np.int64)
-    if len(set(classes.tolist())) < 2:
+    present = texts.groupBy("id").agg(F.max(F.length("text")).alias("chars")).join(marks, "id")
+    chosen, chars = [], 0
+    for r in present.orderBy(F.xxhash64("id"), "id").limit(train_rows).collect():
+        if chars + r["chars"] <= train_chars:
+            chars += r["chars"]
+            chosen.append((r["id"], r["kind"]))
+    if len({c for _, c in chosen}) < 2:
         return None
-    texts_ = [r["text"] for r in rows]
-    del rows
-    return train(texts_, classes)
+    few = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("kind", T.IntegerType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                f, w = vector(batch.column(2)[k].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([f.tobytes()]), pa.array([w.tobytes()])], ["id", "kind", "f", "w"])
+
+    kind_ = docs.schema[id_col].dataType.simpleString()
+    rows = texts.join(F.broadcast(few), "id").groupBy("id", "kind").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(run, f"id {kind_}, kind int, f binary, w binary").orderBy("id").select("kind", "f", "w").toArrow()
+    vectors = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for f, w in zip(rows.column("f"), rows.column("w"))]
+    return train(vectors, rows.column("kind").to_numpy().astype(np.int64))
 
 
 def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "p_clean", toxic_col: str = "p_toxic") -> DataFrame:
-    """``docs`` with the probabilities of being clean and of being toxic; null where there are no words or no model."""
+    """``docs`` with the probabilities of being clean and of being toxic; null where there are no words or no model.
 
+    Columns of these names are replaced.
+    """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in (score_col.lower(), toxic_col.lower())))
     if model is None:
         return docs.withColumns({score_col: F.lit(None).cast("double"), toxic_col: F.lit(None).cast("double")})
     where = docs.columns.index(text_col)
@@ -208,15 +220,15 @@ def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", sc
     return docs.mapInArrow(score, schema)
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4000, least: float = 0.5) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, **fit) -> DataFrame:
     """``docs`` that the classifier takes for clean with a probability of ``least`` or more; their columns as they are.
 
     Documents without words are rejected: null, empty or blank texts. With no labels, or labels of one class only,
     there is no model and every other document stays. Repeated rows are judged alike. Every row is scored on its
     whole text where it is read: one scan, no shuffle.
     """
-    model = fitted(docs, labels, id_col=id_col, text_col=text_col, train_rows=train_rows)
+    model = fitted(docs, labels, id_col=id_col, text_col=text_col, **fit)
     if model is None:
-        return docs.where(F.length(F.trim(F.regexp_replace(column(text_col), "\\s+", " "))) > 0)
+        return docs.where(column(text_col).rlike("[^" + BLANK[1:]))
     p, q = fresh(docs, "_p_clean"), fresh(docs, "_p_toxic")
     return classify(docs, model, text_col=text_col, score_col=p, toxic_col=q).where(column(p) >= least).select(*columns(docs.columns))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import WordHashes, column, components, fresh, mixed, shingles, written
 
 BITS = 64
+#: bytes of a sketch
+SLOTS = 128
 #: microseconds for a row through the shuffle and for a comparison of two signatures, in the cost of a plan
 ROW_COST, PAIR_COST = 1.5, 0.006
 
@@ -51,8 +53,29 @@ def signature(words: list[str], signs: _Signs) -> int:
     return int(np.packbits(votes > 0).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sig, h1, h2): SimHash of the distinct lower-case words, and 128 bits of hash of the words in order.
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """SLOTS bytes: of the hashes that begin with each 7 bits the least one's next byte, never 0; 0 where there is none.
+
+    For two sets the share of equal slots, among those filled in either, estimates their Jaccard index.
+    """
+    out = np.zeros(SLOTS, np.uint8)
+    h = np.sort(grams)
+    slot = (h >> np.uint64(57)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    out[slot[first]] = 1 + (h[first] >> np.uint64(20)) % np.uint64(255)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sketches (rows of a and b) allow a Jaccard index of ``least``: no more than 5 standard deviations below it."""
+    same = ((a == b) & (a > 0)).sum(axis=1)
+    both = ((a | b) > 0).sum(axis=1)
+    return same >= least * both - 5 * np.sqrt(both * least * (1 - least))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, t, sig, h1, h2, n, sketch): SimHash of the distinct lower-case words, 128 bits of hash of the words in order,
+    their number, and the :func:`sketch` of their runs. ``t`` tells the texts of one id apart.
 
     Documents without an id, without text or without words have none.
     """
@@ -60,19 +83,26 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs = _Signs()
         for batch in batches:
-            sig, h = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
-            keep = np.zeros(len(batch), bool)
-            for k, text in enumerate(batch.column(1)):
+            sig, n, h, marks = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64), np.zeros((len(batch), SLOTS), np.uint8)
+            for k, text in enumerate(batch.column(2)):
                 words = text.as_py().lower().split()
                 if words:
-                    keep[k] = True
+                    n[k] = len(words)
                     h[k] = np.frombuffer(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")), np.int64)
                     sig[k] = signature(list(set(words)), signs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["id", "sig", "h1", "h2"]).filter(pa.array(keep))
+                    marks[k] = sketch(shingles(signs.hashes.of(words), shingle))
+            at = pa.py_buffer(np.arange(0, len(batch) * SLOTS + 1, SLOTS, dtype=np.int32).tobytes())
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(batch), [None, at, pa.py_buffer(marks.tobytes())])
+            cols = [batch.column(0), batch.column(1), *map(pa.array, (sig, h[:, 0].copy(), h[:, 1].copy(), n)), packed]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "t", "sig", "h1", "h2", "n", "sketch"]).filter(pa.array(n > 0))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("id is not null and text is not null")
-    return rows.mapInArrow(run, f"id {kind}, sig long, h1 long, h2 long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t long, sig long, h1 long, h2 long, n long, sketch binary")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = column(text_col)
+    return docs.select(column(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).where("id is not null and text is not null")
 
 
 # --- the plan: which bits make a partition, and which threshold each gets
@@ -194,11 +224,10 @@ def _masks(width: int, radius: int) -> np.ndarray:
 
 
 def probes(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(key, sig, id): each signature under each value within ⌈t/2⌉ of its own in each partition.
+    """(key, sig, nid): each signature under each value within ⌈t/2⌉ of its own in each partition.
 
     Two signatures within t in a partition have a value in common, halfway between them.
     """
-    kind = nodes.schema["id"].dataType.simpleString()
     variants = [_masks(len(g), (t + 1) // 2) for g, t in plan]
     each = sum(map(len, variants))
 
@@ -207,12 +236,11 @@ def probes(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
             step = max(1, 200_000 // each)
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                sig = part.column(1).to_numpy(zero_copy_only=False)
+                sig, nid = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 0))
                 keys = np.concatenate([(_parts(sig, g)[:, None] ^ v[None, :]) * 8 + k for k, ((g, _), v) in enumerate(zip(plan, variants))], axis=1)
-                rows = pa.array(np.repeat(np.arange(len(sig)), keys.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(1).take(rows), part.column(0).take(rows)], ["key", "sig", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(sig, each)), pa.array(np.repeat(nid, each))], ["key", "sig", "nid"])
 
-    return nodes.select("id", "sig").mapInArrow(run, f"key long, sig long, id {kind}")
+    return nodes.select("nid", "sig").mapInArrow(run, "key long, sig long, nid long")
 
 
 def _canonical(plan, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,13 +263,28 @@ def _canonical(plan, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return ok
 
 
-def close_pairs(probed: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> DataFrame:
-    """(a, b): ids of the signatures within ``tau``, each pair once, a < b.
+def _within(key: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, plan, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i in left, j in right) of one key's rows within ``tau`` of which the key is the canonical one; i < j if both are the same."""
+    out = [(np.zeros(0, np.int64),) * 2]
+    step = max(1, 4_000_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        i, j = np.nonzero(np.bitwise_count((sig[left[at : at + step], None] ^ sig[None, right]).view(np.uint64)) <= tau)
+        i, j = left[at + i], right[j]
+        ok = i < j if left is right else np.ones(len(i), bool)
+        i, j = i[ok], j[ok]
+        ok = _canonical(plan, key[i], sig[i], sig[j])
+        out.append((i[ok], j[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def close_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, hot_rows: int = 1 << 16) -> DataFrame:
+    """(a, b): nids of the signatures within ``tau``, each pair once, a < b.
 
     Rows come sorted by key. Within a run of one key every row is compared with every other, by whole arrays at once:
-    with the row next to it, then with the one after that, and so on.
+    with the row next to it, then with the one after that, and so on. A key of more than about ``hot_rows`` rows, as
+    one node in 64 shows, is cut into blocks by a hash, and each two blocks are compared in a group of their own.
     """
-    kind = probed.schema["id"].dataType.simpleString()
+    probed = probes(nodes, plan)
 
     def compare(table: pa.Table) -> pa.Table:
         key, sig = (table.column(c).to_numpy() for c in (0, 1))
@@ -278,89 +321,160 @@ def close_pairs(probed: DataFrame, plan: list[tuple[list[int], int]], tau: int)
         if held:
             yield from compare(pa.Table.from_batches(held)).to_batches()
 
-    ordered = probed.repartition("key").sortWithinPartitions("key")
-    pairs = ordered.mapInArrow(run, f"a {kind}, b {kind}")
+    def cross(table: pa.Table) -> pa.Table:
+        key, sig, side = (table.column(c).to_numpy() for c in ("key", "sig", "side"))
+        left = np.flatnonzero(side <= 0)
+        right = left if len(left) and side[left[0]] < 0 else np.flatnonzero(side > 0)
+        i, j = _within(key, sig, left, right, plan, tau)
+        return pa.table({"a": table.column("nid").take(pa.array(i)), "b": table.column("nid").take(pa.array(j))})
+
+    cold, found = probed, None
+    some = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(64)) == 0)
+    hot = written(probes(some, plan).groupBy("key").count().where(F.col("count") > max(1, hot_rows // 64)).select("key", F.ceil(F.col("count") * 64 / hot_rows).alias("m")), "hot")
+    if not hot.isEmpty():
+        cold = probed.join(hot, "key", "left_anti")
+        rows = probed.join(hot, "key").withColumn("block", F.pmod(F.xxhash64("nid", F.lit(1)), F.col("m")))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+        side = F.when(F.col("block") == F.col("j"), -1).when(F.col("block") < F.col("j"), 0).otherwise(1)
+        rows = rows.select("key", "sig", "nid", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), side.alias("side"))
+        found = rows.groupBy("key", "lo", "hi").applyInArrow(cross, "a long, b long")
+    pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    pairs = pairs if found is None else pairs.union(found)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 # --- verification
 
 
-def _verified(docs: DataFrame, groups: DataFrame, tau: int, k: int, least: float) -> DataFrame:
-    """(node, first): what is left of each group when every link needs distance ``tau`` and Jaccard ``least``.
+def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches allow a Jaccard index of ``least``. What is within reach by chance goes here, before
+    pairs are connected: else, from some 10^8 documents on, chance alone would connect most of them.
+    """
 
-    One group at a time: pairs within ``tau`` are tested for the Jaccard index of their sets of ``k`` words unless
-    accepted links connect them already, which can't change the result.
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(a, b, least)))
+
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def shared_grams(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements sets i and j have in common, for each pair."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = [sets[k] for k in used]
+    names, flat = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0), np.zeros(0, np.int64))
+    # elements of one set alone are in no intersection
+    many = np.bincount(flat, minlength=len(names))
+    place = np.cumsum(many > 1) - 1
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    row, col = row[many[flat] > 1], place[flat[many[flat] > 1]]
+    width = int((many > 1).sum())
+    if len(own) ** 2 * width > 20_000 * 100_000 + len(i) * 200_000:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    total = np.zeros((len(own), len(own)), np.float32)
+    step = max(1, 8_000_000 // max(1, len(own)))
+    for k in range(0, width, step):
+        part = (col >= k) & (col < k + step)
+        m = np.zeros((len(own), min(step, width - k)), np.float32)
+        m[row[part], col[part] - k] = 1
+        total += m @ m.T
+    return total[at[: len(i)], at[len(i) :]].astype(np.int64)
+
+
+def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k: int, least: float, block_words: int) -> DataFrame:
+    """(nid, other, links): for each node of a group its number of links, at distance ``tau`` and Jaccard ``least``, to nodes of the same group, and nodes that connect what is linked.
+
+    A group of more than ``block_words`` words is cut into blocks by a hash; each two blocks are a task's work.
     """
-    kind = docs.schema["id"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        nid, at = np.unique(table.column("nid").to_numpy(), return_index=True)
+        table = table.take(pa.array(at))
+        sig, side, texts = table.column("sig").to_numpy(), table.column("side").to_numpy(), table.column("text")
         words = WordHashes()
-        sig, texts = table.column("sig").to_numpy(), table.column("text")
-        sets: dict[int, np.ndarray] = {}
-
-        def grams(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = np.unique(shingles(words.of(texts[i].as_py().lower().split()), k))
-            return sets[i]
-
-        root = np.arange(len(sig))
-        for i in range(1, len(sig)):
-            near = np.flatnonzero(np.bitwise_count((sig[:i] ^ sig[i]).view(np.uint64)) <= tau)
-            while len(near):
-                j = int(near[0])
-                x, y = grams(i), grams(j)
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                if shared >= least * (len(x) + len(y) - shared):
-                    a, b = root[i], root[j]
-                    root[root == max(a, b)] = min(a, b)
-                near = near[1:]
-                near = near[root[near] != root[i]]
-        at = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"node": table.column("id").take(pa.array(at)), "first": table.column("id").take(pa.array(root[at]))})
-
-    rows = docs.join(groups, docs["id"] == groups["node"]).select("root", "id", "sig", "text")
-    return rows.groupBy("root").applyInArrow(run, f"node {kind}, first {kind}")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 10, shingle: int = 3, least: float = 0.45) -> DataFrame:
-    """(id, duplicate_of): each document that belongs to a group of near duplicates, with the group's smallest id.
+        sets = [np.unique(shingles(words.of(t.as_py().lower().split()), k)) for t in texts]
+        size = np.array([len(x) for x in sets])
+        root, links = np.arange(len(nid)), np.zeros(len(nid), np.int64)
+        step = max(1, 4_000_000 // max(1, len(nid)))
+        for a in range(0, len(nid), step):
+            near = np.bitwise_count((sig[a : a + step, None] ^ sig[None, :]).view(np.uint64)) <= tau
+            i, j = np.nonzero(near)
+            i += a
+            ok = (i < j) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            shared = shared_grams(sets, i, j)
+            ok = shared >= least * (size[i] + size[j] - shared)
+            i, j = i[ok], j[ok]
+            links += np.bincount(i, minlength=len(nid)) + np.bincount(j, minlength=len(nid))
+            while True:  # each node takes the least root of those linked to it, until none changes
+                low = np.minimum(root[i], root[j])
+                new = root.copy()
+                np.minimum.at(new, root[i], low)
+                np.minimum.at(new, root[j], low)
+                new = new[new]
+                if np.array_equal(new, root):
+                    break
+                root = new
+        at = np.flatnonzero(links)
+        return pa.table({"nid": nid[at], "other": nid[root[at]], "links": links[at]})
+
+    own = nodes.join(roots, nodes["nid"] == roots["node"]).select("nid", "sig", "id", "t", "n", "root")
+    sizes = own.groupBy("root").agg(F.ceil(F.sum("n") / block_words).alias("m"))
+    own = own.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    side = F.when(F.col("block") == F.col("j"), -1).when(F.col("block") < F.col("j"), 0).otherwise(1)
+    own = own.select("root", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), side.alias("side"), "nid", "sig", "id", "t")
+    rows = texts.join(own, ["id", "t"]).select("root", "lo", "hi", "side", "nid", "sig", "text")
+    return rows.groupBy("root", "lo", "hi").applyInArrow(run, "nid long, other long, links long")
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, tau: int, shingle: int, least: float, block_words: int) -> DataFrame:
+    """(id, t, first, links) of the documents that aren't the first of their group; ``t`` is the hash of the text."""
+    signed = written(signatures(docs, id_col, text_col, shingle), "signatures")
+    nodes = signed.groupBy("sig", "h1", "h2").agg(F.min(F.struct("id", "t")).alias("own"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "sig", "h1", "h2", "own.id", "own.t", "n", "sketch"), "nodes")
+    n, both = bit_statistics(nodes)
+    if n > 1:
+        pairs = written(plausible(close_pairs(nodes, allocated(n, both, tau), tau), nodes, least), "pairs")
+        roots = components(pairs)
+        found = written(_verified(_texts(docs, id_col, text_col), nodes, roots, tau, shingle, least, block_words), "links")
+        groups = components(found.select("nid", "other"), "nid", "other")
+        links = found.groupBy("nid").agg(F.sum("links").alias("links"))
+        known = nodes.join(links, "nid", "left").join(groups, nodes["nid"] == groups["node"], "left").select("sig", "h1", "h2", "id", "t", F.coalesce("root", "nid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        first = known.groupBy("root").agg(F.min(F.struct("id", "t")).alias("own"))
+        known = known.join(first, "root").select("sig", "h1", "h2", "links", "own")
+    else:
+        known = nodes.select("sig", "h1", "h2", F.lit(0).cast("long").alias("links"), F.struct("id", "t").alias("own"))
+    rows = signed.select("id", "t", "sig", "h1", "h2").join(known, ["sig", "h1", "h2"])
+    return rows.where("id <> own.id or t <> own.t").select("id", "t", F.col("own.id").alias("first"), "links").distinct()
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 10, shingle: int = 3, least: float = 0.45, block_words: int = 4_000_000) -> DataFrame:
+    """(id, duplicate_of, links): each document that belongs to a group of near duplicates but isn't its first, with the group's smallest id, and the number of other texts that its own is linked to.
 
     Two texts are near duplicates if their 64-bit SimHash signatures differ in at most ``tau`` bits and the Jaccard
-    index of their sets of runs of ``shingle`` lower-case words is ``least`` or more; groups are what such pairs
+    index of their sets of runs of ``shingle`` lower-case words is ``least`` or more; groups are what such links
     connect. The search for pairs within ``tau`` is exact, for every document against every other.
 
     1. Sign every document; documents with the same words in the same order are one node.
     2. Count over all signatures how often each two bits are set together; put correlated bits into one partition.
     3. Allocate thresholds to the partitions by dynamic programming on estimated candidates (:func:`allocated`).
-    4. Probe, compare, connect, and verify each group on whole texts.
+    4. Probe and compare; pairs whose sketches rule the Jaccard index out go (at the threshold 3 in 10^7 wrongly).
+    5. Verify on whole texts, within what the remaining pairs connect; connect the verified links.
 
-    Null or empty texts and null ids are never near duplicates. Rows with the same id and text are one document.
+    Null or empty texts and null ids are never near duplicates. Rows with the same id and text are one document;
+    different texts of one id are documents of their own, and the one whose hash is less comes first.
     """
-    signed = written(signatures(docs, id_col, text_col), "signatures")
-    kind = signed.schema["id"].dataType.simpleString()
-    nodes = written(signed.groupBy("sig", "h1", "h2").agg(F.min("id").alias("id")), "nodes")
-    n, both = bit_statistics(nodes)
-    copies = signed.join(nodes.withColumnRenamed("id", "node"), ["sig", "h1", "h2"]).select("id", "node", "sig")
-    if n > 1:
-        plan = allocated(n, both, tau)
-        edges = close_pairs(probes(nodes, plan), plan, tau).where("a <> b")
-        roots = components(edges)
-        texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("id is not null and text is not null")
-        wanted = roots.join(nodes.select(F.col("id").alias("node"), "sig"), "node")
-        links = _verified(texts.dropDuplicates(["id"]) if _repeats(signed) else texts, wanted, tau, shingle, least)
-        copies = copies.join(links, "node", "left").select("id", F.coalesce("first", "node").cast(kind).alias("first"))
-    else:
-        copies = copies.select("id", F.col("node").alias("first"))
-    return copies.where("id <> first").distinct().select(F.col("id").alias(id_col), F.col("first").alias("duplicate_of"))
-
-
-def _repeats(signed: DataFrame) -> bool:
-    return not signed.groupBy("id").count().where("count > 1").isEmpty()
+    found = _copies(docs, id_col, text_col, tau, shingle, least, block_words)
+    return found.select(F.col("id").alias(id_col), F.col("first").alias("duplicate_of"), "links")
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that :func:`near_duplicates` reports: one of each group stays."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(column(id_col).alias(fresh(docs, "_gone"))).distinct()
-    return docs.join(gone, column(id_col) == F.col(gone.columns[0]), "left_anti")
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 10, shingle: int = 3, least: float = 0.45, block_words: int = 4_000_000) -> DataFrame:
+    """``docs`` without the documents that :func:`near_duplicates` reports, by id and text: one text of each group stays."""
+    i, t = fresh(docs, "_gone_id"), fresh(docs, "_gone_t")
+    gone = _copies(docs, id_col, text_col, tau, shingle, least, block_words).select(F.col("id").alias(i), F.col("t").alias(t))
+    return docs.join(gone, (column(id_col) == column(i)) & (F.xxhash64(column(text_col)) == column(t)), "left_anti")

@@ -58,11 +58,28 @@ def labelled_texts(r, n):
 
 def test_quality_held_out():
     texts, labels = labelled_texts(random.Random(1), 900)
-    model = quality.train(texts[:600], labels[:600])
+    vectors = [quality.vector(t) for t in texts[:600]]
+    model = quality.train(vectors, labels[:600])
     p = next(quality.probabilities(model, iter([texts[600:] + [None, "", "  "]])))
     assert (p[:300].argmax(1) == labels[600:]).mean() > 0.95 and np.isnan(p[300:]).all()
-    again = quality.train(texts[:600], labels[:600])
+    again = quality.train(vectors, labels[:600])
     assert np.array_equal(model.scores, again.scores)
+    # scores by table are those of the vectors, also over the border of a part
+    for t in (texts[700], "a b c " * 60_000 + texts[701]):
+        f, w = quality.vector(t)
+        z = w.astype(float) @ model.scores[f] + model.bias
+        assert np.allclose(next(quality.probabilities(model, iter([[t]])))[0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
+
+
+def test_quality_tells_the_order_of_words():
+    r = random.Random(19)
+    texts, labels = [], []
+    for k in range(600):
+        texts.append(" ".join(r.choice(["not good", "good not"][k % 2 : k % 2 + 1] + ["x", "y"]) for _ in range(40)))
+        labels.append(k % 2)
+    model = quality.train([quality.vector(t) for t in texts[:400]], np.array(labels[:400]))
+    p = next(quality.probabilities(model, iter([texts[400:]])))
+    assert (p.argmax(1) == labels[400:]).mean() > 0.95
 
 
 def test_quality_filter(spark, empty):
@@ -77,6 +94,13 @@ def test_quality_filter(spark, empty):
     assert len(ids & clean) > 0.95 * len(clean) and len({k for k in ids if k < 300} - clean) < 12
     assert not ids & {300, 301, 302, 307, 308}
     assert quality.quality_filter(empty, labels).count() == 0
+    named = docs.selectExpr("*", "1 as p_clean", "2 as P_TOXIC")
+    assert quality.quality_filter(named, labels).columns == named.columns
+    assert quality.classify(named, None).columns == [*docs.columns, "p_clean", "p_toxic"]
+    repeated = quality.quality_filter(docs.union(docs.limit(3)), labels, train_chars=20_000)
+    assert {x["count"] for x in repeated.groupBy("doc_id").count().collect()} <= {1, 2}
+    blank = table(spark, ["\u00a0", "\x1c \u3000", "\u200b"])
+    assert [x.doc_id for x in quality.quality_filter(blank, labels.limit(0)).collect()] == [2]
     none = quality.quality_filter(table(spark, AWKWARD), labels.limit(0))
     assert sorted(x.doc_id for x in none.collect()) == [3, 4, 5, 6]
 
@@ -103,9 +127,11 @@ def test_token_counts_are_those_of_whole_texts(spark, empty):
 
 def test_packing(spark, empty):
     r = random.Random(4)
-    texts = ["x" * r.choice([1, 30, 700, 900, 2048, 5000, 16384, 40000]) for _ in range(400)] + AWKWARD + ["日" * 9000]
-    docs = table(spark, texts, ids=[*range(len(texts) - 2), None, 7], extra=True)
-    rows = packing.pack(docs, shard_bytes=1 << 20).collect()
+    texts = [words(r, r.choice([1, 30, 200, 300, 700, 2000, 5000])) for _ in range(150)] + AWKWARD + ["日" * 9000]
+    ids = [*range(len(texts) - 2), None, 7]
+    docs = table(spark, texts, ids=ids, extra=True).unionAll(table(spark, [None, texts[3], texts[3]], ids=[None, 3, None], extra=True))
+    placed = packing.pack(docs, shard_tokens=1 << 16)
+    rows = placed.collect()
     bins = {}
     for x in rows:
         bins.setdefault(x.bin, []).append(x)
@@ -116,18 +142,34 @@ def test_packing(spark, empty):
             assert x.position == at
             at += x.length
         assert at == b[0].used <= b[0].capacity and b[0].capacity == min(c for c in packing.CAPACITIES if c >= at)
-    total = sum(len(t.encode()) for t in texts if t)
-    assert sum(x.length for x in rows) == total
-    whole = sorted((x.doc_id, x.start, x.length) for x in rows if x.doc_id == 405)
-    assert sum(n for _, _, n in whole) == len(texts[405]) and all(a + n == b for (_, a, n), (_, b, _) in zip(whole, whole[1:]))
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, packing.pack(docs.repartition(7), shard_bytes=1 << 20).collect()))
-    assert packing.pack(empty).count() == 0
+    enc, _ = tokens.encoder(tokens.VOCABULARY)
+    every = [(i, t) for i, t in zip([*ids, 3, None], [*texts, texts[3], texts[3]]) if t]
+    assert sum(x.length for x in rows) == sum(len(enc.encode_ordinary(t)) for _, t in every)
+    assert sorted(map(str, rows)) == sorted(map(str, packing.pack(docs.repartition(7), shard_tokens=1 << 16).collect()))
+    # the sequences hold every text's tokens, as often as its rows
+    made = {x.bin: x for x in packing.sequences(docs, placed).collect()}
+    assert set(made) == set(bins)
+    found = {}
+    for k, b in bins.items():
+        assert [x.doc_id for x in b] == made[k].doc_ids and len(made[k].tokens) == b[0].used
+        for x in b:
+            found.setdefault((x.doc_id, x.text_hash), []).append((x.start, made[k].tokens[x.position : x.position + x.length]))
+    got = []
+    for (i, _), parts in found.items():
+        n = sum(s == 0 for s, _ in parts)
+        parts.sort(key=lambda p: p[0])
+        got += [(i, enc.decode([t for _, p in parts[::n] for t in p]))] * n
+    assert sorted(got, key=str) == sorted(every, key=str)
+    hot = table(spark, ["x " * 250] * 300 + [f"{k} " * 250 for k in range(100)], ids=[None] * 300 + [*range(100)])
+    sizes = [x[1] for x in packing.pack(hot, shard_tokens=20_000).selectExpr("bin >> 32 as s", "length").groupBy("s").sum().select("s", "sum(length)").collect()]
+    assert len(sizes) >= 4 and max(sizes) < 45_000
+    assert packing.pack(empty).count() == 0 and packing.sequences(empty, packing.pack(empty)).count() == 0
 
 
 def test_packing_is_best_fit_and_beats_each_single_length():
     r = random.Random(5)
     for _ in range(30):
-        sizes = sorted((r.randint(1, 16384) if r.random() < 0.3 else r.randint(1, 3000) for _ in range(r.randint(1, 200))), reverse=True)
+        sizes = sorted((r.randint(1, 4096) if r.random() < 0.3 else r.randint(1, 750) for _ in range(r.randint(1, 200))), reverse=True)
         at, final, used = packing.best_fit(sizes)
         for c in packing.CAPACITIES:
             room, cost = [], 0  # first principles: the fullest bin with room
@@ -376,15 +418,62 @@ def test_simhash_search_is_exact(spark):
             flips = r.choice(64, r.integers(0, 14), replace=False)
             sigs.append(int(np.bitwise_xor.reduce(np.array([b] + [np.int64(np.uint64(1) << np.uint64(f)) for f in flips], np.int64))))
     sigs = sorted({int(s) for s in sigs})
-    nodes = spark.createDataFrame([(k, s) for k, s in enumerate(sigs)], "id long, sig long")
+    nodes = spark.createDataFrame([(k, s) for k, s in enumerate(sigs)], "nid long, sig long")
     n, both = simhash.bit_statistics(nodes)
     for tau in (3, 10):
         plan = simhash.allocated(n, both, tau)
         assert sum(t + 1 for _, t in plan) == tau + 1
-        got = [tuple(x) for x in simhash.close_pairs(simhash.probes(nodes, plan), plan, tau).collect()]
         a = np.array(sigs, np.int64).view(np.uint64)
         d = np.bitwise_count(a[:, None] ^ a[None, :])
-        assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(d <= tau, 1)))}
+        for hot in (1 << 16, 64):  # with keys cut into blocks
+            got = [tuple(x) for x in simhash.close_pairs(nodes, plan, tau, hot).collect()]
+            assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(d <= tau, 1)))}
+
+
+def brute_groups(rows, tau=10, least=0.45):
+    """{(id, text): (first id, links)} of all documents in groups, from first principles."""
+    signs = simhash._Signs()
+    split = [t.lower().split() for _, t in rows]
+    sig = np.array([simhash.signature(list(set(w)), signs) for w in split], np.int64)
+    grams = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in split]
+    near = lambda i, j: np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)) <= tau and len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j])
+    links = [{tuple(split[j]) for j in range(len(rows)) if j != i and split[j] != split[i] and near(i, j)} for i in range(len(rows))]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if split[i] == split[j] or near(i, j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return {rows[i]: (min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]), len(links[i])) for i in range(len(rows)) if root.count(root[i]) > 1}
+
+
+@pytest.mark.parametrize("block_words", [4_000_000, 2000])
+def test_simhash_against_brute_force(spark, block_words):
+    r = random.Random(20)
+    texts = [words(r, r.randint(3, 90)) for _ in range(60)]
+    for k in range(120):
+        w = texts[r.randrange(len(texts))].split()
+        for _ in range(r.randint(0, max(1, len(w) // 12))):
+            w[r.randrange(len(w))] = f"w{r.randrange(4000)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts)) + [(500, "  "), (3, texts[70]), (7, texts[7])]
+    docs = table(spark, [t for _, t in rows], ids=[i for i, _ in rows], extra=True)
+    true = {k: v for k, v in brute_groups([x for x in rows if x[1].strip()]).items()}
+    got = simhash.near_duplicates(docs, block_words=block_words).collect()
+    want = {(i, f, n) for (i, _), (f, n) in true.items() if i != f}
+    assert {(x.doc_id, x.duplicate_of, x.links) for x in got if x.doc_id != x.duplicate_of} == want and want
+    kept = simhash.near_dedup(docs, block_words=block_words)
+    assert kept.columns == docs.columns
+    alone = {x.doc_id for x in kept.collect()}
+    assert {i for i, _ in rows} - alone <= {i for i, _, _ in want} and 500 in alone
+
+
+def test_simhash_keeps_other_texts_of_an_id(spark):
+    r = random.Random(21)
+    w, z = words(r, 80), words(r, 80)
+    docs = table(spark, [w, w, z, z + " more", z, None, w], ids=[0, 1, 1, 1, 1, 1, None])
+    kept = sorted((str(x.doc_id), x.text or "") for x in simhash.near_dedup(docs).collect())
+    assert (("0", w) in kept) and len([x for x in kept if x[1].startswith(z)]) in (1, 2) and ("1", w) not in kept and ("None", w) in kept and ("1", "") in kept
 
 
 # --- 10

@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pytest
 
-from loglattice.llm import packing
+from loglattice.llm import packing, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,9 +45,11 @@ def test_stages(spark, stages):
     for k in alone:  # nothing much alike stays
         assert not any(len(sets[k] & sets[j]) >= 0.9 * len(sets[k] | sets[j]) for j in alone if j < k and min(len(sets[j]), len(sets[k])) > 20)
     assert mixed.count() == near.count() and {x.doc_id for x in mixed.collect()} <= alone
-    total = sum(len(x.text.encode()) for x in mixed.collect())
+    enc, _ = tokens.encoder(tokens.VOCABULARY)
     rows = packed.collect()
-    assert sum(x.length for x in rows) == total and all(x.used <= x.capacity <= packing.CAPACITIES[-1] for x in rows)
+    assert sum(len(x.tokens) for x in rows) == sum(len(enc.encode_ordinary(x.text)) for x in mixed.collect())
+    assert all(len(x.tokens) <= x.capacity <= packing.CAPACITIES[-1] for x in rows)
+    assert {i for x in rows for i in x.doc_ids} == {x.doc_id for x in mixed.collect()}
 
 
 def test_run(spark):
