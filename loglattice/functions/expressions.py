@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError, nearest
 from ..plans import nodes as n
 from .scalar import REGISTRY, Arity
-from .values import ARRAY, BOOL, DATE, DURATION, DYN, null, NUMBER, STRING, Val, _number, boolean, both, dyn, from_float, from_variant, let, number, struct
+from .values import ARRAY, BOOL, DATE, DURATION, DYN, null, NUMBER, STRING, Val, _number, boolean, both, display, dyn, from_float, from_variant, let, number, struct
 
 
 def error() -> Val:
@@ -49,7 +49,11 @@ class Compiler:
         if not node.path:
             return v
         steps = list(node.path)
-        x = F.try_parse_json(let(dyn(v), lambda d: F.when(d.r >= ARRAY, d.s)))
+        root = self.state.variants.get(node.name)
+        if root:  # parsed already
+            x, steps = F.col(root[0]), [root[1], *steps]
+        else:
+            x = F.try_parse_json(let(dyn(v), lambda d: F.when(d.r >= ARRAY, d.s)))
         while steps:
             path = "$"
             while steps and not (isinstance(steps[0], int) and steps[0] < 0):
@@ -97,6 +101,68 @@ class Compiler:
             return ordered(op, a, b)
         return arithmetic(op, a, b)
 
+    def plain(self, node: n.Node) -> Column | None:
+        """A condition that is true in the same rows as ``node``, of bare comparisons that a scan can use to skip data; None
+        if there is none. In other rows it may be null where ``node`` is false: it serves as a filter and nowhere else.
+        """
+        if not isinstance(node, n.Binary):
+            return None
+        if node.op in ("and", "or"):
+            left, right = self.plain(node.left), self.plain(node.right)
+            return None if left is None or right is None else left & right if node.op == "and" else left | right
+        flipped = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
+        if node.op not in flipped:
+            return None
+        field, other, op = node.left, node.right, node.op
+        if not isinstance(field, n.Ref):
+            field, other, op = other, field, flipped[op]
+        if not isinstance(field, n.Ref) or field.path or field.name not in self.scope or n.refs(other):
+            return None
+        x, y = self.scope[field.name], self(other)
+        same = x.kind == y.kind and x.kind not in ("dyn", "none") or x.kind in NUMERIC and y.kind in NUMERIC
+        if not same or x.ok is not None or isinstance(other, n.Literal) and other.kind == "null":
+            return None
+        test = {"<": x.col < y.col, "<=": x.col <= y.col, ">": x.col > y.col, ">=": x.col >= y.col, "==": x.col == y.col, "!=": x.col != y.col}[op]
+        if op in ("<", "<=", "!="):  # an explicit None is another value, and comes before all else
+            test = test | x.col.isNull()
+        return test if y.ok is None else test & y.ok
+
+    def why(self, node: n.Node) -> Column:
+        """Why there is no value, as a text; null where there is one."""
+        v = self(node)
+        reasons: list[Column] = []
+        shown = lambda x: F.coalesce(display(self(x)), F.lit("None"))
+        if isinstance(node, n.Ref):
+            missing = F.lit(f'No value for key "{node.name}"')
+            if node.path and node.name in self.scope:
+                last = node.path[-1]
+                reasons.append(F.when(~self.scope[node.name].good(), missing))
+                reasons.append(F.lit(f"Index {last} out of range" if isinstance(last, int) else f'No value for key "{last}"'))
+            else:
+                reasons.append(missing)
+        elif isinstance(node, n.Not):
+            reasons += [self.why(node.of), F.concat(F.lit("Expected boolean, found "), shown(node.of))]
+        elif isinstance(node, n.If):
+            test = boolean(self(node.test))
+            reasons += [self.why(node.test), F.when(test.isNull(), F.concat(F.lit("Expected boolean, found "), shown(node.test)))]
+            reasons += [F.when(test, self.why(node.then)), F.when(~test, self.why(node.other))]
+        elif isinstance(node, n.Binary):
+            left, right = self.why(node.left), self.why(node.right)
+            if node.op in ("and", "or"):
+                reasons += [left, F.when(boolean(self(node.left)).isNull(), F.concat(F.lit("Expected boolean, found "), shown(node.left))), right]
+            else:
+                reasons += [left, right, F.concat(F.lit("Expected numeric operands, found "), shown(node.left), F.lit(f" {node.op} "), shown(node.right))]
+        elif isinstance(node, n.Call):
+            reasons += [self.why(a) for a in node.args]
+            try:
+                {**REGISTRY, **self.functions}[node.name](*(self(a) for a in node.args))
+            except (Arity, TypeError) as e:
+                reasons.append(F.lit(str(e) if isinstance(e, Arity) else f"The '{node.name}' function can't take {len(node.args)} arguments"))
+            found = F.concat_ws(", ", *map(shown, node.args)) if node.args else F.lit("nothing")
+            reasons.append(F.concat(F.lit(f"The '{node.name}' function failed with the error: it can't take "), found))
+        reasons.append(F.lit(f"{getattr(node, 'text', 'the expression')} has no value"))
+        return F.when(~v.good(), F.coalesce(*reasons))
+
     def logical(self, op: str, a: Val, b: Val) -> Val:
         left = boolean(a)
         if b.kind == "bool":

@@ -156,6 +156,23 @@ FORMATS = (
 )
 
 
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+
+
+def _by_parts(s: Column) -> Column:
+    """A date of which the month is written as a word, whatever the order of its parts and the words between them."""
+    group = lambda x, pattern, k=1: F.nullif(F.regexp_extract(x, pattern, k), F.lit(""))
+    clock = r"(?i)(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?\s*([ap])\.?m\b|(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    month = F.lower(group(s, rf"(?i)\b({_MONTHS.replace(' ', '|')})[a-z]*", 1))
+    bare = F.regexp_replace(F.regexp_replace(s, clock, " "), r"[+-]\d{2}:?\d{2}\b", " ")
+    year, day = group(bare, r"(?<!\d)(\d{4})(?!\d)"), group(bare, r"(?<!\d)(\d{1,2})(?:st|nd|rd|th)?(?!\d)")
+    half, hour = F.lower(group(s, clock, 4)), F.coalesce(group(s, clock, 1), group(s, clock, 5), F.lit("0")).try_cast("int")
+    hour = F.when(half.isNull(), hour).when(hour.between(1, 12), F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0))
+    minute, second = (F.coalesce(group(s, clock, a), group(s, clock, b), F.lit("0")).try_cast("int") for a, b in ((2, 6), (3, 7)))
+    number = (F.instr(F.lit(_MONTHS), month) + F.lit(3)).cast("int")
+    return F.try_make_timestamp_ntz(year.try_cast("int"), F.floor(number / 4).cast("int"), day.try_cast("int"), hour, minute, second.cast("decimal(16,6)"))
+
+
 @of("parseDate", 1)
 def parse_date(v: Val) -> Val:
     """The offset in the text, if any, isn't applied: the time is read as UTC."""
@@ -168,6 +185,7 @@ def parse_date(v: Val) -> Val:
     tries = [full]
     for f in FORMATS:
         tries.append(F.try_to_timestamp(bare, F.lit(f)).cast("timestamp_ntz"))
+    tries.append(_by_parts(F.btrim(display(v), F.lit(" \t\n\r"))))
     t = F.coalesce(*tries).cast("timestamp")
     return Val("date", t, t.isNotNull())
 

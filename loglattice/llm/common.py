@@ -93,6 +93,19 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def blocks(rows: DataFrame, keys: list[str], weight, most: int, by: str) -> DataFrame:
+    """``rows`` with (lo, hi, side): groups of ``keys`` whose weights add up to more than ``most`` are cut into blocks by a hash of ``by``.
+
+    A row comes once for each two blocks, lo and hi, of which its own is one: side is 0 where that is lo, 1 where it is
+    hi, -1 where both are the same. Every two rows of a group thus meet in one (lo, hi) at least.
+    """
+    size = rows.groupBy(*keys).agg(F.ceil(F.sum(weight) / most).cast("long").alias("_m")).where("_m > 1")
+    cut = rows.join(size, keys, "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+    cut = cut.withColumn("_b", F.pmod(F.xxhash64(by), F.col("_m"))).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    side = F.when(F.col("_b") == F.col("_j"), -1).when(F.col("_b") < F.col("_j"), 0).otherwise(1)
+    return cut.select(*rows.columns, F.least("_b", "_j").alias("lo"), F.greatest("_b", "_j").alias("hi"), side.alias("side"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): each node of the undirected ``edges`` with the smallest node it is connected to.
 

@@ -18,6 +18,10 @@ CLASSES = ("clean", "low", "toxic")
 #: words of no score added to each average, so that a single word decides little
 PAD = 8
 BUCKETS = 1 << 18
+#: what a pair of words weighs beside a word, about as much as each of a word's own features
+PAIR = 0.02
+#: the bucket of all pairs of equal words, whatever the word; such a pair weighs as much as a word
+EQUAL = 1
 
 
 def features(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +53,13 @@ def pairs(h: np.ndarray, buckets: int) -> np.ndarray:
         return (mixed(h[:-1] * np.uint64(31) + h[1:]) % np.uint64(buckets)).astype(np.int64)
 
 
+def repeats(h: np.ndarray) -> int:
+    """How many words equal the one before them."""
+    return int((h[1:] == h[:-1]).sum())
+
+
 def vector(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) of a text: the mean of its words and pairs of words, a word being the mean of its features."""
+    """(features, weights) of a text: the mean of its words and pairs of words; a word is the mean of its features."""
     words = text.split()
     n = len(words)
     if not n:
@@ -63,7 +72,9 @@ def vector(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
         f, word = features(names[k : k + 10_000], buckets)
         size = np.bincount(word, minlength=min(10_000, len(names) - k))
         total += np.bincount(f, (many[k : k + 10_000] / size)[word], buckets)
-    total += np.bincount(pairs(hashes(names)[at], buckets), minlength=buckets)
+    h = hashes(names)[at]
+    total += PAIR * np.bincount(pairs(h, buckets), minlength=buckets)
+    total[EQUAL] += repeats(h)
     f = np.flatnonzero(total)
     return f.astype(np.int32), (total[f] / (n + PAD)).astype(np.float32)
 
@@ -82,7 +93,7 @@ class Model:
         return np.stack([np.bincount(word, self.scores[f, k], len(words)) for k in range(len(CLASSES))], axis=1) / n[:, None]
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *, dim: int = 10, buckets: int = BUCKETS, least_docs: int = 5, epochs: int = 15, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
+def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *, dim: int = 10, buckets: int = BUCKETS, least_docs: int = 5, epochs: int = 10, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
     """Stochastic gradient descent on the cross-entropy, with Adagrad steps; the same vectors give the same model.
 
     Features of fewer than ``least_docs`` documents count as 0.
@@ -152,7 +163,8 @@ def probabilities(model: Model, batches: Iterator[list[str | None]], limit: int
                     table[rows], known[rows] = model.of(new), hashes(new)
                     at.update(zip(new, range(rows.start, rows.stop)))
                 which = np.fromiter(map(at.__getitem__, part), np.int64, len(part))
-                total += table[which[min(a, 1) :]].sum(axis=0) + model.scores[pairs(known[which], len(model.scores))].sum(axis=0, dtype=np.float64)
+                total += table[which[min(a, 1) :]].sum(axis=0) + repeats(known[which]) * model.scores[EQUAL].astype(np.float64)
+                total += PAIR * model.scores[pairs(known[which], len(model.scores))].sum(axis=0, dtype=np.float64)
             out[k] = total / (len(words) + PAD) + model.bias
         z = np.exp(out - out.max(axis=1, keepdims=True))
         yield z / z.sum(axis=1, keepdims=True)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, column, components, fresh, mixed, shingles, written
+from .common import WordHashes, blocks, column, components, fresh, mixed, shingles, written
 
 BITS = 64
 #: bytes of a sketch
@@ -424,10 +424,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
         return pa.table({"nid": nid[at], "other": nid[root[at]], "links": links[at]})
 
     own = nodes.join(roots, nodes["nid"] == roots["node"]).select("nid", "sig", "id", "t", "n", "root")
-    sizes = own.groupBy("root").agg(F.ceil(F.sum("n") / block_words).alias("m"))
-    own = own.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("m"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    side = F.when(F.col("block") == F.col("j"), -1).when(F.col("block") < F.col("j"), 0).otherwise(1)
-    own = own.select("root", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), side.alias("side"), "nid", "sig", "id", "t")
+    own = blocks(own, ["root"], F.col("n"), block_words, "nid")
     rows = texts.join(own, ["id", "t"]).select("root", "lo", "hi", "side", "nid", "sig", "text")
     return rows.groupBy("root", "lo", "hi").applyInArrow(run, "nid long, other long, links long")
 

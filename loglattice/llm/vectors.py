@@ -1,15 +1,16 @@
-"""Near duplicates among embeddings: all pairs, by clusters that share their borders or by blocks."""
+"""Near duplicates among embeddings: a robust-pruned flat graph over shards of clusters, searched for every row."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, drop_written, written
+from .common import blocks, column, components, drop_written, written
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -18,166 +19,271 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
-    """((id, vec), dim): unit vectors, one for each id, of the most frequent length."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, vec, dim): unit vectors, one for each id, the least of several."""
     rows = vectors.select(column(id_col).alias("id"), column(vec_col).cast("array<float>").alias("vec"))
     rows = rows.where("id is not null and vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
     rows = rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("norm", F.expr("sqrt(aggregate(vec, 0D, (s, x) -> s + double(x) * x))")).where("norm > 0")
-    rows = written(rows.select("id", F.expr("transform(vec, x -> float(x / norm))").alias("vec")), "vectors")
-    top = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = top["dim"] if top else 1
-    return rows.where(F.size("vec") == dim), dim
+    return rows.select("id", F.expr("transform(vec, x -> float(x / norm))").alias("vec"), F.size("vec").alias("dim"))
 
 
 # --- one shard in memory
 
 
-def close(X: np.ndarray, Y: np.ndarray, floor: float, same: bool = False, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, cosine): rows of X and Y whose cosine, in double precision, is ``floor`` or more. All are compared with all.
+def cosines(X: np.ndarray, Y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of rows i of X and j of Y, in double precision."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 100_000):
+        A, B = X[i[k : k + 100_000]].astype(np.float64), Y[j[k : k + 100_000]].astype(np.float64)
+        out[k : k + 100_000] = np.einsum("pd,pd->p", A, B) / (np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1))
+    return out
 
-    ``same``: X and Y are the same rows; only pairs with x < y.
+
+def robust_pruned(X: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
+    """Neighbours of each row. All rows of the shard are candidates of all others, the nearest first; each one taken
+    strikes out those that are nearer to it, by a factor of ``alpha``, than to the row in question.
     """
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for at in range(0, len(X), chunk):
-        first = at if same else 0
-        x, y = np.nonzero(X[at : at + chunk] @ Y[first:].T >= floor - 1e-5)
-        x, y = x + at, y + first
-        if same:
-            x, y = x[x < y], y[x < y]
-        for k in range(0, len(x), 100_000):
-            i, j = x[k : k + 100_000], y[k : k + 100_000]
-            A, B = X[i].astype(np.float64), Y[j].astype(np.float64)
-            cos = np.einsum("pd,pd->p", A, B) / (np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1))
-            ok = cos >= floor
-            found.append((i[ok], j[ok], cos[ok]))
-    return tuple(np.concatenate(z) for z in zip(*found))
+    n = len(X)
+    D = np.maximum(2 - 2 * (X @ X.T), 0)
+    alive = D.copy()
+    np.fill_diagonal(alive, np.inf)
+    picked = np.full((n, degree), -1)
+    rows = np.arange(n)
+    for k in range(min(degree, n - 1)):
+        best = alive.argmin(axis=1)
+        ok = np.isfinite(alive[rows, best])
+        if not ok.any():
+            break
+        picked[ok, k] = best[ok]
+        alive[rows, best] = np.inf
+        alive[alpha * alpha * D[best] <= D] = np.inf
+    return [p[p >= 0] for p in picked]
+
+
+def shard_graph(X: np.ndarray, degree: int, alpha: float, most: int) -> list[np.ndarray]:
+    """Like :func:`robust_pruned`; more than ``most`` rows are cut in two halves that overlap, their lists united."""
+    if len(X) <= most:
+        return robust_pruned(X, degree, alpha)
+    a = X[0]
+    b = X[int((X @ a).argmin())]
+    for _ in range(4):
+        side = X @ b > X @ a
+        if side.all() or not side.any():
+            break
+        a, b = X[~side].mean(axis=0), X[side].mean(axis=0)
+    rank = np.argsort(X @ b - X @ a, kind="stable")
+    middle, margin = len(X) // 2, max(1, len(X) // 10)
+    lists: list[list[np.ndarray]] = [[] for _ in range(len(X))]
+    for part in (rank[: middle + margin], rank[middle - margin :]):
+        for k, near in zip(part, shard_graph(X[part], degree, alpha, most)):
+            lists[k].append(part[near])
+    return [np.unique(np.concatenate(x)) for x in lists]
+
+
+def range_search(X: np.ndarray, near: list[np.ndarray], floor: float, beam: int, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) with a < b: rows whose inner product is ``floor`` or more, as found by a search for every row.
+
+    A greedy search with a ``beam`` of nodes starts at the medoid and at the row's own neighbours, so that a group whose
+    edges stay within it is reached by its members. From what it finds within range, the search expands to all
+    neighbours within range, and on from those, without a limit.
+    """
+    n = len(X)
+    # edges are followed both ways: who is in nobody's list is found from its own
+    to, of = np.concatenate(near) if n else np.zeros(0, np.int64), np.repeat(np.arange(n), [len(x) for x in near])
+    edge = np.unique(np.concatenate([of * n + to, to * n + of]))
+    of, to = edge // n, edge % n
+    begin = np.searchsorted(of, np.arange(n + 1))
+    width = int(np.diff(begin).max()) if len(edge) else 1
+    medoid = int((X @ X.mean(axis=0)).argmax())
+    left, right = [], []
+
+    def steps(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, neighbour) for each neighbour of v."""
+        size = begin[v + 1] - begin[v]
+        at = np.repeat(begin[v] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.repeat(q, size), to[at]
+
+    for at in range(0, n, chunk):
+        Q = X[at : at + chunk]
+        m = len(Q)
+        seen = np.zeros((m, n), bool)
+        seen[np.arange(m), at + np.arange(m)] = True
+        q, v = steps(np.arange(m), at + np.arange(m))
+        q, v = np.concatenate([q, np.arange(m)]), np.concatenate([v, np.full(m, medoid)])
+        nodes, score, opened = np.zeros((m, 0), np.int64), np.zeros((m, 0), np.float32), np.zeros((m, 0), bool)
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(q):
+            pair = np.unique(q * n + v)
+            q, v = pair // n, pair % n
+            ok = ~seen[q, v]
+            q, v = q[ok], v[ok]
+            seen[q, v] = True
+            s = np.concatenate([np.einsum("pd,pd->p", Q[q[k : k + 100_000]], X[v[k : k + 100_000]]) for k in range(0, len(q), 100_000)]) if len(q) else np.zeros(0, np.float32)
+            hits.append((q[s >= floor], v[s >= floor]))
+            # the best of each query's old and new nodes stay in its beam
+            order = np.lexsort((-s, q))
+            q, v, s = q[order], v[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            top = place < beam
+            w = int(place[top].max()) + 1 if top.any() else 0
+            new, ns = np.zeros((m, w), np.int64), np.full((m, w), -3, np.float32)
+            new[q[top], place[top]], ns[q[top], place[top]] = v[top], s[top]
+            nodes, score, opened = np.concatenate([nodes, new], axis=1), np.concatenate([score, ns], axis=1), np.concatenate([opened, ns < -2], axis=1)
+            keep = np.argsort(-score, axis=1, kind="stable")[:, :beam]
+            nodes, score, opened = (np.take_along_axis(x, keep, axis=1) for x in (nodes, score, opened))
+            best = np.where(opened, -4, score).argmax(axis=1)
+            live = np.flatnonzero(~opened[np.arange(m), best])
+            opened[live, best[live]] = True
+            q, v = steps(live, nodes[live, best[live]])
+        q, v = (np.concatenate(x) for x in zip(*hits))
+        left.append(q + at)
+        right.append(v)
+        while len(q):
+            q, v = steps(q, v)
+            pair = np.unique(q * n + v)
+            q, v = pair // n, pair % n
+            ok = ~seen[q, v]
+            q, v = q[ok], v[ok]
+            seen[q, v] = True
+            hit = np.concatenate([np.einsum("pd,pd->p", Q[q[k : k + 100_000]], X[v[k : k + 100_000]]) >= floor for k in range(0, len(q), 100_000)]) if len(q) else np.zeros(0, bool)
+            q, v = q[hit], v[hit]
+            left.append(q + at)
+            right.append(v)
+    a, b = np.concatenate(left), np.concatenate(right)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    pair = np.unique(a[a != b] * n + b[a != b])
+    return pair // n, pair % n
 
 
 # --- shards of clusters
 
 
-def centroids(rows: DataFrame, dim: int, k: int) -> np.ndarray:
-    """``k`` unit vectors: those of the rows whose ids hash lowest, moved twice to the mean of what is nearest, over all rows."""
-    first = rows.orderBy(F.xxhash64("id"), "id").limit(k).collect()
-    C = np.array([r["vec"] for r in first], np.float32).reshape(-1, dim)
-    for _ in range(2):
-
-        def run(batches: Iterator[pa.RecordBatch], C=C) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros((len(C), dim)), np.zeros(len(C), np.int64)
-            for batch in batches:
-                X = matrix(batch.column(0), dim)
-                c = (X @ C.T).argmax(axis=1)
-                np.add.at(total, c, X)
-                n += np.bincount(c, minlength=len(C))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], ["c", "total"])
-
-        each = F.array(*(F.sum(F.col("total")[j]) for j in range(dim)))
-        for r in rows.select("vec").mapInArrow(run, "c long, total array<double>").groupBy("c").agg(each.alias("total")).collect():
-            v = np.array(r["total"])
-            if np.linalg.norm(v) > 0:
-                C[r["c"]] = v / np.linalg.norm(v)
+def centroids(rows: DataFrame, dim: int, k: int, fit_rows: int, n: int) -> np.ndarray:
+    """``k`` unit vectors, fitted on the rows of lowest hash, about ``fit_rows`` of ``n``: some of these, moved to the mean of what is nearest."""
+    share = min(1.0, fit_rows / n)
+    some = rows.where(F.xxhash64("id") <= min(2**63 - 1, int(share * 2.0**64) - 2**63)).select("id", "vec").toArrow()
+    X = matrix(some.column("vec"), dim)
+    X = X[np.argsort(np.array(some.column("id").to_pylist(), object), kind="stable")]
+    r = np.random.default_rng(0)
+    C = X[r.permutation(len(X))[:k]].copy()
+    for _ in range(6):
+        c = np.concatenate([(X[at : at + 4096] @ C.T).argmax(axis=1) for at in range(0, len(X), 4096)])
+        total = np.zeros((len(C), dim))
+        np.add.at(total, c, X)
+        size = np.linalg.norm(total, axis=1)
+        C[size > 0] = total[size > 0] / size[size > 0][:, None]
     return C
 
 
-def members(X: np.ndarray, C: np.ndarray, floor: float) -> np.ndarray:
-    """(rows, clusters): whether the cluster may hold the middle of the row and any other within ``floor`` of it.
-
-    The middle of such a pair is at most ``half`` from both. Where its nearest centroid is c, the row is at most ``half``
-    beyond the plane between c and any other centroid, so both rows of the pair are in c. Tested for the row's nearest few.
-    """
-    half = np.sqrt((1 - floor) / 2)
-    S = X @ C.T
-    rows, near = np.arange(len(X)), np.argsort(-S, axis=1)[:, :8]
-    may = np.ones(S.shape, bool)
-    for j in near.T:
-        between = np.sqrt(np.maximum((C * C).sum(axis=1)[None, :] + (C * C).sum(axis=1)[j][:, None] - 2 * C[j] @ C.T, 0))
-        may &= S - S[rows, j][:, None] >= -half * between - 1e-3
-    return may
-
-
-def clustered(rows: DataFrame, C: np.ndarray, dim: int, floor: float) -> DataFrame:
-    """(part, side, id, vec): each row in all clusters that :func:`members` gives it."""
+def assigned(rows: DataFrame, C: np.ndarray, dim: int, overlap: int) -> DataFrame:
+    """(cluster, id, vec): each row in the ``overlap`` clusters whose centroids are nearest."""
+    m = min(overlap, len(C))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                k, c = np.nonzero(members(matrix(some.column(1), dim), C, floor))
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(np.full(len(c), -1, np.int32)), some.column(0).take(pa.array(k)), some.column(1).take(pa.array(k))], ["part", "side", "id", "vec"])
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                near = np.argsort(-(matrix(some.column(1), dim) @ C.T), axis=1, kind="stable")[:, :m]
+                k = pa.array(np.repeat(np.arange(len(some)), m))
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), some.column(0).take(k), some.column(1).take(k)], ["cluster", "id", "vec"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "vec").mapInArrow(run, f"part long, side int, id {kind}, vec array<float>")
-
-
-def blocked(rows: DataFrame, m: int) -> DataFrame:
-    """(part, side, id, vec): ``m`` blocks by hash, a part for each two; side tells them apart and is -1 for a block with itself."""
-    b = rows.select("id", "vec", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(m)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
-    return b.select((F.least("b", "j") * m + F.greatest("b", "j")).alias("part"), F.expr("case when b = j then -1 when b < j then 0 else 1 end").alias("side"), "id", "vec")
-
+    return rows.select("id", "vec").mapInArrow(run, f"cluster long, id {kind}, vec array<float>")
 
-def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, audit_rows: int = 1024, recall: float = 0.95) -> DataFrame:
-    """(a, b, cosine), a < b: all pairs of vectors with a cosine of ``floor`` or more.
 
-    1. Cluster all rows, about ``shard_rows`` to a centroid; each row goes to every cluster in which a pair of it may
-       have its middle (:func:`members`), so that every pair has a common cluster.
-    2. Where ``audit_rows`` rows show that this saves less than half of all comparisons, as for vectors without
-       clusters, compare blocks of rows instead, each with each. That takes time by the square of the rows.
-    3. Compare all rows of each cluster, or of each two blocks (:func:`close`).
-    4. Audit: compare the ``audit_rows`` rows with all rows by brute force. If of the pairs of an audited row, in the
-       mean over those that have any, less than ``recall`` were found, repeat by blocks; if it was by blocks, fail.
-
-    Null, empty, zero and non-finite vectors, vectors of a rarer length and null ids are in no pair; repeated rows of
-    an id count once. The centroids that reach every task take 4 bytes for each dimension and cluster.
-    """
-    rows, dim = usable(vectors, id_col, vec_col)
+def _pairs(rows: DataFrame, dim: int, n: int, floor: float, shard_rows: int, overlap: int, degree: int, alpha: float, beam: int, audit_rows: int, recall: float, centroid_bytes: int) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
-    n = rows.count()
-    if n < 2:
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
-    k = -(-n // shard_rows)
-    C = centroids(rows, dim, k)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(audit_rows).collect()
-    asked, S = [r["id"] for r in sample], np.array([r["vec"] for r in sample], np.float32)
+    k = max(1, min(-(-n // shard_rows), centroid_bytes // (4 * dim)))
+    C = centroids(rows, dim, k, max(k, min(1 << 16, (1 << 25) // (4 * dim))), n)
+    share = min(1.0, audit_rows / n)
+    sample = rows.where(F.xxhash64("id", F.lit(1)) <= min(2**63 - 1, int(share * 2.0**64) - 2**63)).orderBy("id").collect()
+    asked, S = [r["id"] for r in sample], np.array([r["vec"] for r in sample], np.float32).reshape(-1, dim)
 
     def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, _ = close(matrix(batch.column(1), dim), S, floor)
-            ids, other = batch.column(0).take(pa.array(x)), pa.array([asked[j] for j in y], batch.schema.field(0).type)
-            yield pa.RecordBatch.from_arrays([ids, other], ["x", "y"])
-
-    truth = rows.select("id", "vec").mapInArrow(audit, f"x {kind}, y {kind}").where("x <> y")
-    truth = written(truth.select(F.col("y").alias("asked"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "audit")
-
-    def search(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, X = table.column("id").combine_chunks(), matrix(table.column("vec"), dim)
-        if side[0] < 0:
-            x, y, cos = close(X, X, floor, same=True)
-        else:
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            x, y, cos = close(X[left], X[right], floor)
-            x, y = left[x], right[y]
-        return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y)), "cosine": pa.array(cos)})
-
-    # at most 32 MB of vectors in a block, and enough blocks for all cores
-    ways = [blocked(rows, max(min(8, k), -(-n * dim * 4 // 2**25)))]
-    share = sum(members(S[at : at + 512], C, floor).sum(axis=0) for at in range(0, len(S), 512)) / len(S)
-    if (share**2).sum() < 0.5:
-        ways.insert(0, clustered(rows, C, dim, floor))
-    for parts in ways:
-        found = parts.groupBy("part").applyInArrow(search, f"x {kind}, y {kind}, cosine double")
-        found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+            X = matrix(batch.column(1), dim)
+            x, y = np.nonzero(X @ S.T >= floor - 1e-5)
+            ok = cosines(X, S, x, y) >= floor
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(x)), pa.array([asked[j] for j in y], batch.schema.field(0).type)], ["x", "y"])
+
+    truth = rows.select("id", "vec").mapInArrow(audit, f"x {kind}, y {kind}").where("x <> y") if asked else None
+    truth = truth and written(truth.select(F.col("y").alias("asked"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "audit")
+    while True:
+        # a cluster of many rows, as of a large group, is cut into blocks of which each two are a shard
+        parts = written(blocks(assigned(rows, C, dim, overlap), ["cluster"], F.lit(1), 4 * shard_rows, "id"), "parts")
+
+        def build(table: pa.Table) -> pa.Table:
+            table = table.sort_by("id")
+            ids = table.column("id").combine_chunks()
+            near = shard_graph(matrix(table.column("vec"), dim), degree, alpha, 2 * shard_rows)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype(np.int32)
+            flat = ids.take(pa.array(np.concatenate(near).astype(np.int64) if at[-1] else np.zeros(0, np.int64)))
+            return pa.table({"id": ids, "near": pa.ListArray.from_arrays(pa.array(at), flat)})
+
+        shard = ["cluster", "lo", "hi"]
+        graph = parts.groupBy(*shard).applyInArrow(build, f"id {kind}, near array<{kind}>")
+        graph = graph.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+
+        def search(table: pa.Table, beam=beam) -> pa.Table:
+            table = table.sort_by("id")
+            ids, X = table.column("id").combine_chunks(), matrix(table.column("vec"), dim)
+            place = {x: k for k, x in enumerate(ids.to_pylist())}
+            near = [np.array([place[y] for y in x if y in place], np.int64) for x in table.column("near").to_pylist()]
+            a, b = range_search(X, near, floor - 1e-5, beam)
+            cos = cosines(X, X, a, b)
+            ok = cos >= floor
+            return pa.table({"a": ids.take(pa.array(a[ok])), "b": ids.take(pa.array(b[ok])), "cosine": pa.array(cos[ok])})
+
+        found = parts.join(graph, "id").groupBy(*shard).applyInArrow(search, f"a {kind}, b {kind}, cosine double")
         found = written(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "pairs")
-        each = truth.join(found, ["a", "b"], "left").groupBy("asked").agg(F.avg(F.col("cosine").isNotNull().cast("int")).alias("share"))
-        got = each.agg(F.avg("share")).first()[0]
+        drop_written(parts)
+        each = truth and truth.join(found, ["a", "b"], "left").groupBy("asked").agg(F.avg(F.col("cosine").isNotNull().cast("int")).alias("share"))
+        got = each and each.agg(F.avg("share")).first()[0]
         if got is None or got >= recall:
+            if truth:
+                drop_written(truth)
             return found
         drop_written(found)
-    raise RuntimeError(f"all rows were compared, but the mean recall of the audited rows is {got:.3f}")
+        if overlap >= len(C) and beam >= n:
+            raise RuntimeError(f"the mean recall of the audited rows is {got:.3f}, and there is no more to search")
+        overlap, beam = overlap + max(1, overlap // 2), beam * 2
+
+
+def near_pairs(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", floor: float = 0.95, shard_rows: int = 800, overlap: int = 3, degree: int = 24, alpha: float = 1.2, beam: int = 16, audit_rows: int = 1024, recall: float = 0.95, centroid_bytes: int = 1 << 26) -> tuple[DataFrame, DataFrame]:
+    """((a, b, cosine), (id, first)): the pairs a < b of different vectors with a cosine of ``floor`` or more, with every row as a query; and the rows whose vector another one of smaller id has, with that id.
+
+    Equal vectors are one node, whose id is the smallest. Vectors of each length are held against their like.
+
+    1. Centroids are fitted on a sample of at most 65,536 rows or 32 MB; each row goes to its ``overlap`` nearest clusters of
+       about ``shard_rows`` rows. Clusters are more than ``centroid_bytes`` allow for only beyond some 10^7 clusters x
+       dimensions; they grow then. A cluster of over 4 ``shard_rows`` rows is cut into blocks, each two of them a shard.
+    2. Build a robust-pruned graph on each shard and unite the lists of neighbours of each row over its shards.
+    3. Search in each shard, over the united lists, from its medoid and the row's own neighbours (:func:`range_search`).
+    4. Verify each pair by its cosine in double precision.
+    5. Audit: compare about ``audit_rows`` rows with all rows by brute force. If of the pairs of an audited row, in the
+       mean over those that have any, less than ``recall`` were found, repeat with more clusters for each row and
+       twice the beam; if there is no more, fail.
+
+    Null, empty, zero and non-finite vectors and null ids are in no pair; repeated rows of an id count once.
+    """
+    rows = usable(vectors, id_col, vec_col)
+    rows = written(rows, "vectors")
+    each = rows.groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = written(each.select(F.col("first").alias("id"), "vec", "n", F.size("vec").alias("dim")), "nodes")
+    copies = rows.join(nodes.where("n > 1").select("vec", F.col("id").alias("first")), "vec").where("id <> first").select("id", "first")
+    none = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine")).limit(0)
+    how = (floor, shard_rows, overlap, degree, alpha, beam, audit_rows, recall, centroid_bytes)
+    found = [_pairs(nodes.where(F.col("dim") == r["dim"]), r["dim"], r["count"], *how) for r in nodes.groupBy("dim").count().where("count > 1").collect()]
+    return reduce(DataFrame.union, found, none), copies
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", **how) -> DataFrame:
-    """(id, duplicate_of): each vector of a group connected by :func:`near_pairs`, with the group's smallest id."""
-    groups = components(near_pairs(vectors, id_col=id_col, vec_col=vec_col, **how))
-    return groups.where("node <> root").select(F.col("node").alias(id_col), F.col("root").alias("duplicate_of"))
+    """(id, duplicate_of, links): each row of a group connected by :func:`near_pairs` but the first, with the group's smallest id and the number of different vectors within range of its own."""
+    pairs, copies = near_pairs(vectors, id_col=id_col, vec_col=vec_col, **how)
+    groups = components(pairs)
+    links = pairs.select("a").union(pairs.select("b")).groupBy("a").count().select(F.col("a").alias("node"), F.col("count").alias("links"))
+    nodes = groups.join(links, "node")
+    own = nodes.where("node <> root").select("node", "root", "links")
+    more = copies.join(nodes.withColumnRenamed("node", "first"), "first", "left").select(F.col("id").alias("node"), F.coalesce("root", "first").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    return own.union(more).select(F.col("node").alias(id_col), F.col("root").alias("duplicate_of"), "links")

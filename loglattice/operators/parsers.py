@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..errors import PlanError
 from ..functions.expressions import Compiler
 from ..functions.patterns import MARK, numbered, wildcard
-from ..functions.values import ARRAY, null, OBJECT, Val, display, dyn, from_variant, let, none, struct, trimmed, typed
+from ..functions.values import ARRAY, DYN, null, OBJECT, Val, display, dyn, from_variant, let, none, struct, trimmed, typed
 from ..plans import nodes as n
 from ..plans.state import State, native
 
@@ -23,6 +23,15 @@ def _source(state: State, node, compile_: Compiler) -> Column:
     return display(compile_(node)) if node is not None else state.raw_text().guarded()
 
 
+def _no_source(state: State, operator: str, node, compile_: Compiler) -> State:
+    return state if node is None else state.failed(operator, lambda: compile_.why(node))
+
+
+def once(c: Column) -> Column:
+    """The column, so marked that the optimizer neither computes it again for each use nor moves filters below it."""
+    return F.when(F.rand() < 2, c)
+
+
 def _hidden(state: State, name: str) -> str:
     k = 0
     while f"_{name}{k}" in state.df.columns:
@@ -39,7 +48,8 @@ def _discover(state: State, keys: Column) -> list[str]:
 
 def json(state: State, op: n.Json, compile_: Compiler, needed: set[str] | None) -> State:
     text = _source(state, op.source, compile_)
-    state = compile_.state
+    state = _no_source(compile_.state, "json", op.source, compile_)
+    state = state.failed("json", lambda: F.when(text.isNotNull() & F.try_parse_json(text).isNull(), F.concat(F.lit("Expected JSON, found "), text)))
     schema = state.options.schema
     if schema is not None:
         row, ok = _hidden(state, "row"), _hidden(state, "ok")
@@ -59,7 +69,7 @@ def json(state: State, op: n.Json, compile_: Compiler, needed: set[str] | None)
                 state = state.put(f.name, v, keep_old=f.name in state.fields)
         return state
     v = _hidden(state, "json")
-    df = state.df.withColumn(v, F.try_parse_json(text)).where(F.col(v).isNotNull())
+    df = state.df.where(text.isNotNull()).withColumn(v, once(F.try_parse_json(text))).where(F.col(v).isNotNull())
     state = state.with_(df=df)
     if needed is None:
         needed = set(_discover(state, F.map_keys(F.try_variant_get(F.col(v), "$", "map<string,variant>"))))
@@ -68,7 +78,10 @@ def json(state: State, op: n.Json, compile_: Compiler, needed: set[str] | None)
             raise PlanError(f"a key with both kinds of quotes can't be read: {name}")
         q = '"' if "'" in name else "'"
         x = F.try_variant_get(F.col(v), f"$[{q}{name}{q}]", "variant")
-        state = state.put(name, Val("dyn", from_variant(x)), keep_old=name in state.fields)
+        new = name not in state.fields
+        state = state.put(name, Val("dyn", from_variant(x)), keep_old=not new)
+        if new:
+            state = state.with_(variants=state.variants | {name: (v, name)})
     return state
 
 
@@ -77,32 +90,33 @@ _PAIR = r"""([^\s=\"]+)(=(?:"((?:[^"\\]|\\.)*)"|(\S*)))?"""
 
 def logfmt(state: State, op: n.Logfmt, compile_: Compiler, needed: set[str] | None) -> State:
     text = compile_.bind(_source(state, op.source, compile_))
-    state = compile_.state
-    pairs = _hidden(state, "pairs")
-    all_ = lambda k: F.regexp_extract_all(text, F.lit(_PAIR), F.lit(k))
-    zipped = F.arrays_zip(all_(1).alias("k"), all_(2).alias("v"))
-    state = state.with_(df=state.df.where(text.isNotNull()).withColumn(pairs, zipped))
+    state = _no_source(compile_.state, "logfmt", op.source, compile_)
+    pairs, keys = _hidden(state, "pairs"), _hidden(state, "keys")
+    # the last of several pairs of a key counts, so they are turned round
+    found = F.reverse(F.regexp_extract_all(text, F.lit(_PAIR), F.lit(0)))
+    df = state.df.where(text.isNotNull()).withColumn(pairs, once(found))
+    df = df.withColumn(keys, once(F.transform(F.col(pairs), lambda p: F.substring_index(p, "=", 1))))
+    state = state.with_(df=df)
     if needed is None:
-        needed = set(_discover(state, F.col(pairs)["k"]))
+        needed = set(_discover(state, F.col(keys)))
     for name in sorted(needed):
-        last = F.try_element_at(F.filter(F.col(pairs), lambda p: p["k"] == name), F.lit(-1))
-        value = F.substring(last["v"], 2, 2**31 - 1)
-        quoted = value.startswith('"') & value.endswith('"') & (F.length(value) > 1)
-        inner = F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r"\\(.)", "$1")
-        made = F.when(last.isNull(), null().cast(none_type())).when(last["v"] == "", none()).otherwise(typed(F.when(quoted, inner).otherwise(value)))
+        at, value = _hidden(state, "at"), _hidden(state, "value")
+        here = F.array_position(F.col(keys), F.lit(name)).cast("int")
+        pair = F.substring(F.get(F.col(pairs), F.col(at) - 1), len(name) + 2, 2**31 - 1)
+        state = state.with_(df=state.df.withColumn(at, once(here)).withColumn(value, once(pair)))
+        v = F.col(value)
+        bare = F.length(F.get(F.col(pairs), F.col(at) - 1)) == len(name)
+        quoted = v.startswith('"') & v.endswith('"') & (F.length(v) > 1)
+        inner = F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), r"\\(.)", "$1")
+        made = once(F.when(F.col(at) == 0, null().cast(DYN)).when(bare, none()).otherwise(typed(F.when(quoted, inner).otherwise(v))))
         state = state.put(name, Val("dyn", made), keep_old=name in state.fields)
-    return state
-
-
-def none_type() -> str:
-    from ..functions.values import DYN
-
-    return DYN
+        state = state.with_(df=state.df.drop(at, value))
+    return state.with_(df=state.df.drop(pairs, keys))
 
 
 def parse(state: State, op: n.Parse, compile_: Compiler, needed: set[str] | None) -> State:
     text = compile_.bind(trimmed(_source(state, op.source, compile_)))
-    state = compile_.state
+    state = _no_source(compile_.state, "parse", op.source, compile_)
     got = _hidden(state, "parse")
     if op.regex:
         try:
@@ -178,6 +192,8 @@ def split(state: State, op: n.Split, compile_: Compiler) -> State:
         to = op.to or (op.source if isinstance(op.source, n.Ref) else n.Ref("_split"))
     text = compile_.bind(text)
     state = compile_.state
+    if op.source is not None:
+        state = state.failed("split", lambda: F.coalesce(compile_.why(op.source), F.when(text.isNull(), F.concat(F.lit("Expected string, found "), F.coalesce(display(v), F.lit("None"))))))
     sep = "".join(c if c.isalnum() else "\\" + c if c.isprintable() and ord(c) < 128 else f"\\x{{{ord(c):X}}}" for c in op.separator)
     # a token is what quotes enclose, all behind a quote that isn't closed, or what comes before the next separator
     token = rf"""\G(?:"(?:\\"|[^"])*"|'(?:\\'|[^'])*'|["'](?s:.)+|(?!["'])(?:(?!{sep})(?s:.))+(?:{sep})?|{sep})"""

@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import PlanError
 from ..functions.expressions import Compiler
-from ..functions.values import DATE, Val, boolean, dyn, number, struct
+from ..functions.values import DATE, Val, boolean, display, dyn, number, struct
 from ..plans import nodes as n
 from ..plans.state import By, State, col, slot
 
@@ -34,7 +35,7 @@ def fields(state: State, op: n.Fields) -> State:
 
 def let(state: State, op: n.Let, compile_: Compiler) -> State:
     v = compile_(op.expr)
-    state = compile_.state
+    state = compile_.state.failed(f"as {op.name}", lambda: compile_.why(op.expr))
     if v.kind == "dyn":
         out = state.put(op.name, v)
         return out.with_(df=out.df.where(col(op.name).isNotNull()))
@@ -51,7 +52,10 @@ def where(state: State, op: n.Where, compile_: Compiler) -> State:
     state = compile_.state
     if isinstance(op.test, n.Literal) and v.kind != "bool":
         raise PlanError(f"where takes a condition, not {op.test.text}", compile_.text, op.test.at, op.test.at + len(op.test.text))
-    return state.with_(df=state.df.where(boolean(v)))
+    test = boolean(v)
+    state = state.failed("where", lambda: F.coalesce(compile_.why(op.test), F.when(test.isNull(), F.concat(F.lit("Expected boolean, found "), F.coalesce(display(v), F.lit("None"))))))
+    plain = compile_.plain(op.test)
+    return state.with_(df=state.df.where(test if plain is None else plain))
 
 
 def limit(state: State, op: n.Limit, compile_: Compiler) -> State:
@@ -59,7 +63,7 @@ def limit(state: State, op: n.Limit, compile_: Compiler) -> State:
         raise PlanError(f"a limit is a whole number other than 0, not {op.count:g}", compile_.text, op.at)
     k = int(op.count)
     order = state.order
-    if not order:
+    if not order or state.natural and k > 0:  # partitions are read from the first on, until there are enough rows
         return state.with_(df=state.df.limit(abs(k)))
     return state.with_(df=state.df.orderBy(*(o.column(reverse=k < 0) for o in order)).limit(abs(k)))
 
@@ -67,8 +71,9 @@ def limit(state: State, op: n.Limit, compile_: Compiler) -> State:
 def total(state: State, op: n.Total, compile_: Compiler) -> State:
     """The running sum in the order of the rows; what is no number counts as 0 and stays.
 
-    Where one column gives the order, rows are cut into ranges by splitters; each range sums its own rows, and what
-    comes before a range is added to it. No task sees all rows.
+    Where one column of numbers gives the order, rows are cut into ranges by splitters, which a job finds while the
+    query is planned; where it is the place in files, by the splits of the files. Each range sums its own rows, and what
+    comes before a range is added to it. No task sees all rows. Over other orders one does.
     """
     x = F.coalesce(number(compile_(op.of), dates=False), F.lit(0.0))
     state = compile_.state
@@ -89,6 +94,14 @@ def total(state: State, op: n.Total, compile_: Compiler) -> State:
         df = df.join(F.broadcast(base), "_bucket")  # 64 rows at most
         run = F.sum(source).over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(before, 0)) + F.col("_base")
         df = df.withColumn("_run", run).drop("_bucket", "_base")
+    elif simple and "_ord" in df.columns and isinstance(df.schema["_ord"].dataType, T.StructType):
+        # lines of files: each split sums its own
+        split = F.struct(F.col("_ord.file").alias("file"), F.col("_ord.block").alias("block"))
+        each = df.groupBy(split.alias("_split")).agg(F.sum(source).alias("_sum"))
+        base = each.select("_split", F.coalesce(F.sum("_sum").over(Window.orderBy("_split").rowsBetween(before, -1)), F.lit(0.0)).alias("_base"))
+        df = df.withColumn("_split", split).join(base, "_split")
+        run = F.sum(source).over(Window.partitionBy("_split").orderBy(*order).rowsBetween(before, 0)) + F.col("_base")
+        df = df.withColumn("_run", run).drop("_split", "_base")
     else:
         df = df.withColumn("_run", F.sum(source).over(Window.orderBy(*order).rowsBetween(before, 0)))
     out = state.with_(df=df).put(op.name, Val("float", F.col("_run")))
@@ -105,6 +118,12 @@ def timeslice(state: State, op: n.Timeslice, compile_: Compiler) -> State:
     micros = F.unix_micros(v.guarded()) if v.kind == "date" else F.when(v.col.r == DATE, v.col.i) if v.kind == "dyn" else F.lit(None).cast("bigint")
     step = F.lit(op.step // 1000).cast("bigint")
     floor = F.timestamp_micros(micros - F.pmod(micros, step))
+
+    def why() -> Column:
+        hint = F.concat(F.lit("Expected date, found '"), F.coalesce(display(v), F.lit("None")), F.lit("'.  Use parseDate() to convert a value to a date"))
+        return F.coalesce(compile_.why(op.of), F.when(micros.isNull(), hint))
+
+    state = state.failed("timeslice", why)
     df = state.df.where(micros.isNotNull())
     return state.with_(df=df).put(op.name, Val("date", floor))
 
@@ -131,7 +150,7 @@ def sort(state: State, op: n.Sort, compile_: Compiler) -> State:
         keys.append(sort_key(v, op.descending))
     plain = {e.name for e in op.keys if isinstance(e, n.Ref) and not e.path}
     rest = [sort_key(Val(k, col(x)), op.descending and not op.keys) for x, k in state.fields.items() if x not in plain]
-    return compile_.state.with_(order=tuple(keys + rest), raw=None)
+    return compile_.state.with_(order=tuple(keys + rest), natural=False, raw=None)
 
 
 __all__ = ["fields", "let", "where", "limit", "total", "timeslice", "sort", "sort_key", "struct"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,9 @@ class By:
 class State:
     """``fields`` maps each name to its kind; its column in ``df`` is :func:`col`. A missing value is a null of kind dyn.
 
-    ``order`` has the columns that give the order of the rows; ``table``: whether rows are those of an aggregate.
+    ``order`` has the columns that give the order of the rows; ``natural``: whether it is that of the partitions.
+    ``table``: whether rows are those of an aggregate. ``variants`` has for fields of parsed JSON the column of the
+    whole and their key in it. ``errors`` are rows dropped because of an error, each a function that gives a DataFrame (line, operator, error).
     """
 
     df: DataFrame
@@ -42,6 +45,8 @@ class State:
     options: object = None
     text: str = ""
     errors: tuple = field(default=())
+    natural: bool = False
+    variants: dict = field(default_factory=dict)
 
     def scope(self) -> dict[str, Val]:
         return {name: Val(kind, col(name)) for name, kind in self.fields.items()}
@@ -56,7 +61,21 @@ class State:
         column = v.col
         if keep_old and name in self.fields:
             column = F.coalesce(column, dyn(Val(self.fields[name], col(name))))
-        return self.with_(df=self.df.withColumn(slot(name), column), fields=self.fields | {name: v.kind})
+        variants = {k: x for k, x in self.variants.items() if k != name}
+        return self.with_(df=self.df.withColumn(slot(name), column), fields=self.fields | {name: v.kind}, variants=variants)
+
+    def failed(self, operator: str, why: Callable[[], Column]) -> State:
+        """Note the rows that an operator drops, those in which ``why()`` isn't null. It is called only if errors are asked
+        for. Rows of an aggregate go without a word.
+        """
+        if self.table or self.df.isStreaming:
+            return self
+
+        def rows() -> DataFrame:
+            line = F.col(self.raw) if self.raw else F.lit("")
+            return self.df.select(line.alias("line"), F.lit(operator).alias("operator"), why().alias("error")).where("error is not null")
+
+        return self.with_(errors=(*self.errors, rows))
 
     def set_all(self, values: dict[str, Val], keep: Column | None = None) -> State:
         """Filter by ``keep``, then set fields that are good in all rows kept."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ class Result:
         s = self.state
         return s.df.orderBy(*(o.column() for o in s.order)) if s.order else s.df
 
+    def errors(self) -> DataFrame:
+        """(line, operator, error): the rows that an operator dropped because of an error, with what was wrong."""
+        spark = self.state.df.sparkSession
+        none = spark.createDataFrame([], "line string, operator string, error string")
+        return reduce(DataFrame.unionAll, (rows() for rows in self.state.errors), none)
+
     def df(self, ordered: bool | None = None) -> DataFrame:
         """Fields as columns; the raw line if there are no fields. Tables come in order, and records if asked for."""
         s = self.state

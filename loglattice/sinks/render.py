@@ -161,17 +161,13 @@ def check_format(template: str) -> None:
         raise PlanError(f"not a format: {template}")
 
 
-def lines(result, mode: str = "legacy", template: str = "", width: int | None = None) -> Iterator[str]:
-    """The output of a query, line by line."""
+def record_lines(found: Iterable[tuple[dict[str, Value], str]], mode: str = "legacy", template: str = "", width: int | None = None) -> Iterator[str]:
+    """A line for each of the records, as they come."""
     if mode == "format":
         check_format(template)
-    found = rows(result)
     if mode == "json":
-        if result.is_table:
-            yield "[" + ",".join(json.dumps({c: r[c].jsonable() if c in r else None for c in result.columns}, ensure_ascii=False, separators=(",", ":")) for r, _ in found) + "]"
-        else:
-            for values, _ in found:
-                yield json.dumps({k: values[k].jsonable() for k in sorted(values)}, ensure_ascii=False, separators=(",", ":"))
+        for values, _ in found:
+            yield json.dumps({k: values[k].jsonable() for k in sorted(values)}, ensure_ascii=False, separators=(",", ":"))
     elif mode == "logfmt":
         for values, _ in found:
             yield " ".join(f"{k}={values[k].shown()}" for k in sorted(values))
@@ -179,14 +175,22 @@ def lines(result, mode: str = "legacy", template: str = "", width: int | None =
         for values, _ in found:
             yield formatted(template, values)
     elif mode == "legacy":
-        if result.is_table:
-            yield table(result.columns, [r for r, _ in found], width or WIDEST).rstrip("\n")
-        else:
-            yield from records(found, width)
+        yield from records(found, width)
     else:
         raise PlanError(f"there is no output '{mode}'")
 
 
+def lines(result, mode: str = "legacy", template: str = "", width: int | None = None) -> Iterator[str]:
+    """The output of a query, line by line."""
+    found = rows(result)
+    if result.is_table and mode == "json":
+        yield "[" + ",".join(json.dumps({c: r[c].jsonable() if c in r else None for c in result.columns}, ensure_ascii=False, separators=(",", ":")) for r, _ in found) + "]"
+    elif result.is_table and mode == "legacy":
+        yield table(result.columns, [r for r, _ in found], width or WIDEST).rstrip("\n")
+    else:
+        yield from record_lines(found, mode, template, width)
+
+
 def write_json(result, path: str) -> None:
     """Results of any size as JSON files: one object for each row, nulls kept."""
     result.df(ordered=False).write.option("ignoreNullFields", "false").json(path)

@@ -26,7 +26,7 @@ def state(df: DataFrame, options, raw: str | None = None, order_by: str | list[s
         order = tuple(By(F.col(f"_ord{k}"), False, False) for k in range(len(names)))
         extra += [F.col(f"`{x}`").alias(f"_ord{k}") for k, x in enumerate(names)]
     numeric = len(names) == 1 and kinds[names[0]] in ("int", "float")
-    return State(df.select(*columns, *extra), kinds, "_raw", order, options=replace(options, order_column="_ord0" if numeric else None))
+    return State(df.select(*columns, *extra), kinds, "_raw", order, options=replace(options, order_column="_ord0" if numeric else None), natural=not names and not df.isStreaming)
 
 
 __all__ = ["state", "col"]

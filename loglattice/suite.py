@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import Engine
+from .sinks.render import logfmt_column, write_json
 from .sources.shared import shared_dir
 
 
@@ -47,6 +48,55 @@ def _nested(df: DataFrame) -> DataFrame:
     return df.select("event_id", F.to_json(F.struct(inner.alias("a"), F.when(F.pmod("event_id", F.lit(3)) == 0, F.col("value")).alias("v"))).alias("line"))
 
 
+def _when(df: DataFrame) -> dict:
+    return {"status": F.when(F.col("o_orderstatus") == "F", "500").otherwise("200"), "key": F.col("o_orderkey").cast("string"), "size": F.pmod("o_orderkey", F.lit(5000)).cast("string")}
+
+
+def _joined(df: DataFrame, *parts) -> DataFrame:
+    return df.select("o_orderkey", F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("line"))
+
+
+def _nginx(df: DataFrame) -> DataFrame:
+    """orders as lines of another access log."""
+    w = _when(df)
+    took = (F.pmod("o_custkey", F.lit(1000)) / 1000).cast("string")
+    return _joined(df, "10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] \"GET /", w["key"], " HTTP/1.1\" ", w["status"], " ", w["size"], ' "http://a/" "agent 1" "', took, '"')
+
+
+def _ingress(df: DataFrame) -> DataFrame:
+    """orders as lines of an ingress controller."""
+    w = _when(df)
+    return _joined(df, "10.0.0.1 - - [01/Jan/2024:00:00:00 +0000] \"GET /", w["key"], " HTTP/1.1\" ", w["status"], " ", w["size"], ' "-" "agent 1" 100 0.01 [web-80] [] 10.1.0.1:80 ', w["size"], " 0.01 ", w["status"], " abc")
+
+
+def _mixed(df: DataFrame) -> DataFrame:
+    """orders as JSON in which v is a number, a text, true or null."""
+    v = {0: F.col("o_orderkey").cast("string"), 1: (F.col("o_orderkey") / 2).cast("string"), 2: F.concat(F.lit('"'), "o_orderpriority", F.lit('"')), 3: F.lit("true")}
+    kind = F.pmod("o_orderkey", F.lit(5))
+    text = F.lit("null")
+    for k, c in v.items():
+        text = F.when(kind == k, c).otherwise(text)
+    return df.select("o_orderkey", F.concat(F.lit('{"kind": '), kind.cast("string"), F.lit(', "v": '), text, F.lit("}")).alias("line"))
+
+
+def _dates(df: DataFrame) -> DataFrame:
+    """The dates of orders as people write them."""
+    forms = ("yyyy-MM-dd", "d/MMM/yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd", "yyyyMMdd", "EEE, d MMM yyyy", "MMMM d yyyy")
+    text = F.date_format("o_orderdate", forms[0])
+    for k, form in enumerate(forms[1:], 1):
+        pattern = form.removeprefix("EEE, ")
+        written = F.date_format("o_orderdate", pattern)
+        text = F.when(F.pmod("o_orderkey", F.lit(len(forms))) == k, F.concat(F.date_format("o_orderdate", "E"), F.lit(", "), written) if form != pattern else written).otherwise(text)
+    return df.select("o_orderkey", text.alias("line"))
+
+
+def _broken(df: DataFrame) -> DataFrame:
+    """orders as JSON, of which some isn't any and some lacks v or has a text in its place."""
+    kind = F.pmod("o_orderkey", F.lit(7))
+    whole = F.to_json(F.struct(F.col("o_custkey").alias("c"), F.when(kind != 2, F.when(kind == 3, "high").otherwise("1")).alias("v")))
+    return df.select("o_orderkey", F.when(kind == 1, "no json").otherwise(whole).alias("line"))
+
+
 T = {"raw": "text"}
 L = {"raw": "l_comment"}
 KEY = {"order_by": "o_orderkey"}
@@ -102,7 +152,21 @@ CASES: dict[str, Case] = {
     "parse_optional_group": Case("pages", '* | parse regex "^https?://(?P<m>m[.])?" | count by m', "SELECT CASE WHEN regexp_matches(url, '^https?://m[.]') THEN 'm.' END AS m, count(*) AS _count FROM pages WHERE regexp_matches(url, '^https?://') GROUP BY 1", {"raw": "url"}),
     "split_index": Case("pages", '* | split(url) on "/" as parts | parts[1] as host | length(parts) as n | fields page_id, host, n', "SELECT page_id, p[2] AS host, len(p)::BIGINT AS n FROM (SELECT page_id, list_filter(string_split(url, '/'), lambda x: x <> '') AS p FROM pages)"),
     "logfmt_lines": Case("orders", "* | logfmt | fields key, status, prio, price", "SELECT o_orderkey AS key, o_orderstatus AS status, o_orderpriority AS prio, round(o_totalprice, 2) AS price FROM orders", {"raw": "line", "prepare": _lines, "types": {"key": "bigint", "price": "double"}}),
-    "alias_apache": Case("orders", "500 | apache | count, sum(contentlength) as bytes by status, method", "SELECT '500' AS status, 'GET' AS method, count(*) AS _count, sum(o_orderkey % 5000)::DOUBLE AS bytes FROM orders WHERE concat('10.0.0.', o_custkey % 250, ' - u [01/Jan/2024:00:00:00 +0000] \"GET /', o_orderkey, ' HTTP/1.1\" ', CASE WHEN o_orderstatus = 'F' THEN '500' ELSE '200' END, ' ', o_orderkey % 5000) LIKE '%500%' AND o_orderstatus = 'F' GROUP BY 1, 2", {"raw": "line", "prepare": lambda d: _access(d.where("o_orderstatus = 'F'"))}),
+    "alias_apache": Case("orders", "500 | apache | count, sum(contentlength) as bytes by status, method", "SELECT status, 'GET' AS method, count(*) AS _count, sum(o_orderkey % 5000)::DOUBLE AS bytes FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN '500' ELSE '200' END AS status FROM orders) WHERE concat('10.0.0.', o_custkey % 250, ' - u [01/Jan/2024:00:00:00 +0000] \"GET /', o_orderkey, ' HTTP/1.1\" ', status, ' ', o_orderkey % 5000) LIKE '%500%' GROUP BY 1, 2", {"raw": "line", "prepare": _access}),
+    "alias_nginx": Case("orders", "* | nginx | count, sum(bytes_sent) as bytes, max(gzip_ratio) as ratio by status, method", "SELECT CASE WHEN o_orderstatus = 'F' THEN '500' ELSE '200' END AS status, 'GET' AS method, count(*) AS _count, sum(o_orderkey % 5000)::DOUBLE AS bytes, round(max((o_custkey % 1000) / 1000), 4) AS ratio FROM orders GROUP BY 1", {"raw": "line", "prepare": _nginx}),
+    "alias_k8singressnginx": Case("orders", "* | k8singressnginx | count, sum(body_bytes_sent) as bytes by upstream_status", "SELECT CASE WHEN o_orderstatus = 'F' THEN '500' ELSE '200' END AS upstream_status, count(*) AS _count, sum(o_orderkey % 5000)::DOUBLE AS bytes FROM orders GROUP BY 1", {"raw": "line", "prepare": _ingress}),
+    "percentile_sketch": Case("lineitem", "* | p50(l_quantity), p90(l_quantity), p99(l_linenumber) by l_returnflag",
+        "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.9) AS p90, quantile_disc(l_linenumber, 0.99)::DOUBLE AS p99 FROM lineitem GROUP BY ALL"),
+    "duplicate_names": Case("orders", "* | count, count(o_totalprice > 100000), sum(o_custkey) as x, max(o_custkey) as x by o_orderstatus", "SELECT o_orderstatus, count(*) AS _count, count(*) FILTER (o_totalprice > 100000) AS _count_2, sum(o_custkey)::DOUBLE AS x, max(o_custkey)::DOUBLE AS x_2 FROM orders GROUP BY ALL"),
+    "sort_places": Case("orders", "* | count, sum(o_totalprice) as spent by o_custkey | sort by _count desc, spent, o_custkey | 1 as one | total(one) as place | fields o_custkey, place", "SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, sum(o_totalprice) DESC, o_custkey DESC)::DOUBLE AS place FROM orders GROUP BY o_custkey"),
+    "compare_mixed_types": Case("orders", "* | json | where v > 2000 | where v != 5001 | count, count_distinct(v) as many by kind",
+        "SELECT kind, count(*) AS _count, count(DISTINCT CASE kind WHEN 1 THEN (o_orderkey / 2)::VARCHAR WHEN 2 THEN o_orderpriority ELSE o_orderkey::VARCHAR END) AS many FROM (SELECT *, (o_orderkey % 5)::VARCHAR AS kind0, o_orderkey % 5 AS kind FROM orders) WHERE (kind = 0 AND o_orderkey > 2000 AND o_orderkey <> 5001) OR (kind = 1 AND o_orderkey / 2 > 2000 AND o_orderkey / 2 <> 5001) OR kind = 2 GROUP BY kind",
+        {"raw": "line", "prepare": _mixed, "types": {"kind": "bigint"}}),
+    "predicates_by_row": Case("orders", "* | json | isNull(v) as a | isEmpty(v) as b | isBlank(v) as c | isNumeric(v) as d | count by kind, a, b, c, d",
+        "SELECT kind, kind = 4 AS a, kind = 4 AS b, kind = 4 AS c, kind IN (0, 1) OR (kind = 2 AND regexp_matches(o_orderpriority, '[0-9]')) AS d, count(*) AS _count FROM (SELECT *, o_orderkey % 5 AS kind FROM orders) GROUP BY ALL", {"raw": "line", "prepare": _mixed, "types": {"kind": "bigint"}}),
+    "parse_date_text": Case("orders", "* | parseDate(line) as d | fields o_orderkey, d", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders", {"raw": "line", "prepare": _dates}),
+    "parse_hex_column": Case("orders", "* | parseHex(line) as n | fields o_orderkey, n", "SELECT o_orderkey, o_orderkey AS n FROM orders", {"raw": "line", "prepare": lambda d: d.select("o_orderkey", F.concat(F.lit("0x"), F.lower(F.hex("o_orderkey"))).alias("line"))}),
+    "where_none": Case("lineitem", "* | where l_quantity < 30 and l_orderkey > 100 or 0.09 <= l_discount | where some < 3 or some != 3 | count by some", "SELECT some, count(*) AS _count FROM (SELECT *, CASE WHEN l_linenumber > 2 THEN l_linenumber::BIGINT END AS some FROM lineitem) WHERE ((l_quantity < 30 AND l_orderkey > 100) OR l_discount >= 0.09) AND (some IS NULL OR some <> 3) GROUP BY ALL", {"prepare": lambda d: d.withColumn("some", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")))}),
     "nested_path": Case("events", '* | json | a.list[-1] as last | a.["the kind"] as kind | sum(a.list[0]) as s, sum(last) as seven, count(v > 50) as high by kind',
         "SELECT event_type AS kind, sum(event_id)::DOUBLE AS s, count(*) * 7.0::DOUBLE AS seven, count(*) FILTER (event_id % 3 = 0 AND value > 50) AS high FROM events GROUP BY 1", {"raw": "line", "prepare": _nested}),
     "math_fns": Case("customer", "* | abs(c_acctbal) as abs_ | ceil(c_acctbal) as ceil_ | floor(c_acctbal) as floor_ | round(c_acctbal) as round_ | sqrt(abs_) as sqrt_ | cbrt(c_acctbal) as cbrt_ | log(abs_ + 1) as log_ | log10(abs_ + 1) as log10_ | log1p(abs_) as log1p_ | hypot(c_custkey, 3) as hypot_ | atan2(c_acctbal, 100) as atan2_ | toRadians(c_acctbal) as rad_ | toDegrees(c_custkey / 1000) as deg_ | fields + c_custkey, abs_, ceil_, floor_, round_, sqrt_, cbrt_, log_, log10_, log1p_, hypot_, atan2_, rad_, deg_",
@@ -122,6 +186,27 @@ def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).query("* | now() as t | where t > parseDate(\"2020-01-01\") | fields r_regionkey", rows).df(ordered=False)
 
 
+def _row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong in the rows that a query drops."""
+    rows = _broken(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    found = Engine(spark).query("* | json | v + c as w | where w > 0 | fields w", rows, raw="line").errors()
+    return found.groupBy("operator", "error").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _logfmt_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = Engine(spark).query("* | count by o_orderstatus, o_orderpriority", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return result.state.df.select(logfmt_column(result).alias("line"))
+
+
+def _json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON files and read again."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    write_json(Engine(spark).query("* | where c_acctbal < 0 | fields c_custkey, c_name, c_acctbal", spark.read.parquet(f"{sf_dir}/customer.parquet")), path)
+    return spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").json(path)
+
+
 def _text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as lines of text and read again as files."""
     import uuid
@@ -131,8 +216,21 @@ def _text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).query_text('* | parse "the * " as w noconvert | count by w', path).df(ordered=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.run for name, case in CASES.items()} | {"now_fn": _now, "text_source": _text_source}
+def _text_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum over lines of a file."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/numbers-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("string").alias("value")).coalesce(1).sortWithinPartitions(F.col("value").cast("long")).write.text(path)
+    return Engine(spark).query_text('* | parse "*" as k | total(k) as run | fields k, run', path, types={"k": "bigint"}).df(ordered=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: case.run for name, case in CASES.items()} | {"now_fn": _now, "text_source": _text_source, "text_total": _text_total, "row_errors": _row_errors, "logfmt_sink": _logfmt_sink, "json_sink": _json_sink}
 ORACLES: dict[str, str] = {name: case.sql for name, case in CASES.items() if case.sql} | {
     "now_fn": "SELECT r_regionkey::BIGINT AS r_regionkey FROM region",
     "text_source": "SELECT regexp_extract(t, '(?i)the (.*?) ', 1) AS w, count(*) AS _count FROM (SELECT trim(replace(text, chr(10), ' ')) AS t FROM conversations) WHERE regexp_matches(t, '(?i)the (.*?) ') GROUP BY 1",
+    "text_total": "SELECT o_orderkey AS k, sum(o_orderkey) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)::DOUBLE AS run FROM orders",
+    "row_errors": "SELECT operator, error, count(*) AS rows FROM (SELECT CASE WHEN o_orderkey % 7 = 1 THEN 'json' ELSE 'as w' END AS operator, CASE o_orderkey % 7 WHEN 1 THEN 'Expected JSON, found no json' WHEN 2 THEN 'No value for key \"v\"' ELSE 'Expected numeric operands, found high + ' || o_custkey END AS error FROM orders WHERE o_orderkey % 7 IN (1, 2, 3)) GROUP BY ALL",
+    "logfmt_sink": "SELECT '_count=' || count(*) || ' o_orderpriority=' || o_orderpriority || ' o_orderstatus=' || o_orderstatus AS line FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    "json_sink": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 0",
 }

@@ -186,6 +186,83 @@ def test_text_files(spark, tmp_path):
     assert rows == ["one\r", "two �", "three"]
 
 
+def pushed(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[-1].split("\n")[0]
+
+
+def test_comparisons_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(k, k / 2, None if k % 3 == 0 else f"s{k}") for k in range(20)], "i int, f double, s string").write.parquet(path)
+    df, engine = spark.read.parquet(path), Engine(spark)
+
+    def found(query):
+        out = engine.query(f"* | {query} | fields i", df).df(ordered=False)
+        return sorted(r.i for r in out.collect()), pushed(out)
+
+    rows, plan = found('where i >= 5 and f < 9 | where 12 > i')
+    assert rows == list(range(5, 12)) and "GreaterThanOrEqual(i,5)" in plan and "LessThan(i,12)" in plan and "LessThan(f,9.0)" in plan
+    rows, plan = found('where s < "s2" or s == "s5"')  # a null is an explicit None and comes first
+    assert rows == sorted({0, 3, 6, 9, 12, 15, 18, 1, 10, 11, 13, 14, 16, 17, 19, 5}) and "IsNull(s)" in plan
+    assert found('where !(s > "s2") and s != null')[0] == found('where s <= "s2" and s != null')[0]
+    assert found('where s != "s4"')[0] == [k for k in range(20) if k != 4] and found("where i < null")[0] == []
+
+
+def test_head_limit_stops_early(spark):
+    out = Engine(spark).query("* | limit 3", spark.range(1000)).df(ordered=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [r.id for r in out.collect()] == [0, 1, 2] and "TakeOrdered" not in plan and "Limit" in plan
+
+
+def test_row_errors(run):
+    lines = ['{"a": 1}', "oops", '{"b": "x", "n": {"k": [1]}}', '{"a": "y", "b": true}']
+    errors = lambda q: [(r.line, r.operator, r.error) for r in run.engine.query_lines(q, lines).errors().collect()]
+    assert errors("* | json | a + 1 as c") == [("oops", "json", "Expected JSON, found oops"), (lines[2], "as c", 'No value for key "a"'), (lines[3], "as c", "Expected numeric operands, found y + 1")]
+    assert errors("* | json | where b | count")[1:] == [(lines[0], "where", 'No value for key "b"'), (lines[2], "where", "Expected boolean, found x")]
+    assert (lines[2], "as c", "Index 3 out of range") in errors("* | json | n.k[3] as c")
+    assert (lines[0], "as c", "The 'sqrt' function expects 1 arguments, found 2") in errors("* | json | sqrt(a, a) as c")
+    assert (lines[0], "timeslice", "Expected date, found '1'.  Use parseDate() to convert a value to a date") in errors("* | json | timeslice(a) 5m")
+    assert (lines[3], "split", "Expected string, found true") in errors("* | json | split(b)")
+    assert errors("* | count | x as y") == []
+
+
+def test_fuzzy_dates(run):
+    lines = ["Mon, January 21st 2014 at 5:30 pm", "on the 3rd of feb, 2001", "12:05:06 AM 9 Sep 1999", "no date", "Jan 99 2014"]
+    assert [r[0] for r in run('* | parse "*" as t noconvert | parseDate(t) as d | fields d', lines)] == [datetime(2014, 1, 21, 17, 30), datetime(2001, 2, 3), datetime(1999, 9, 9, 0, 5, 6)]
+
+
+def test_total_of_lines_of_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.log").write_text("\n".join(str(n) for n in range(k * 5, k * 5 + 5)))
+    rows = Engine(spark).query_text('* | parse "*" as n | total(n) as t | fields n, t', str(tmp_path), types={"n": "int"}).df(ordered=True).collect()
+    assert [(r.n, r.t) for r in rows] == [(k, sum(range(k + 1))) for k in range(15)]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import os
+
+    from loglattice.__main__ import main
+
+    path = tmp_path / "a.log"
+    path.write_text('{"k": "a", "n": 1}\noops\n{"k": "b", "n": 2}\n')
+    assert main(["* | json | count by k", "-f", str(path), "-o", "json"]) == 0
+    out = capsys.readouterr()
+    assert out.out == '[{"k":"a","_count":1},{"k":"b","_count":1}]\n' and out.err == "error: Expected JSON, found oops\n"
+    assert main(["* | json | where n > 1", "-f", str(path), "-m", "{k}={n}"]) == 0 and capsys.readouterr().out == "b=2\n"
+    assert main(["* | nothing", "-f", str(path)]) == 1 and "error: " in capsys.readouterr().err
+    for bad in (["*", "-o", "xml"], ["*", "-o", "json", "-m", "{a}"], []):
+        with pytest.raises(SystemExit):
+            main(bad)
+    capsys.readouterr()
+    for query, want in (("* | json | n + 1 as m | fields m", "[m=2]\n[m=3]\n"), ("* | json | sum(n)", "_sum\n" + "-" * 12 + "\n3.00\n")):
+        read, write = os.pipe()
+        os.write(write, path.read_bytes())
+        os.close(write)
+        with os.fdopen(read) as stdin:
+            monkeypatch.setattr("sys.stdin", stdin)
+            assert main([query]) == 0
+        assert capsys.readouterr().out == want
+
+
 def test_live(spark, tmp_path):
     from loglattice.sources import text
     from loglattice.streaming import live
