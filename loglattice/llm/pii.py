@@ -82,10 +82,14 @@ def _decoy(r: random.Random, words: list[str]) -> str:
     """What isn't personal but has digits or marks: dates, times, amounts, versions, numbers, links, references."""
     d = lambda n: "".join(r.choice(DIGITS) for _ in range(n))
     w = lambda: r.choice(words)
+    # acronyms, alone, joined, and with numbers and versions behind them
+    acronym = r.choice("- /").join("".join(r.choice(LETTERS.upper()) for _ in range(r.randint(2, 5))) for _ in range(r.randint(1, 3)))
+    if r.random() < 0.15:
+        return acronym + r.choice(["", " ", "-", "/"]) + r.choice([d(1), d(2), d(r.randint(3, 5)), f"{d(1)}.{d(1)}", f"{d(1)}.{d(1)}.", f"v{d(1)}", ""])
     return r.choice([
         str(r.randint(1000, 2100)), f"{d(1)}.{d(r.randint(1, 3))}", f"{d(r.randint(1, 2))}.", d(r.randint(1, 9)), f"{d(r.randint(1, 3))},{d(3)}", f"{d(1)}.{d(3)}.{d(3)}", f"{r.choice('$€£')}{d(r.randint(1, 4))}.{d(2)}", f"{r.randint(1900, 2100)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}/{r.randint(1, 12)}/{r.randint(1900, 2100)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2100)}",
         f"{r.randint(0, 23)}:{d(2)}", f"{r.randint(0, 23)}:{d(2)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", f"{w()} {d(1)}.{d(1)}", f"{w()} {d(2)}", f"#{d(r.randint(1, 5))}", f"@{w()}", f"{w()} @ {w()}", f"{d(2)}%", f"{d(1)}x{d(2)}", f"({d(r.randint(1, 4))})", f"[{d(r.randint(1, 2))}]", f"http://{w()}.{w()}.com/{w()}/{d(3)}", f"www.{w()}.org", f"{w()}{d(2)}", f"{w()}-{d(1)}.{d(1)}",
-        f"{d(3)} {w()} {d(4)}", f"No. {d(4)}", f"{d(1)}th", f"{d(3)}.{d(2)}", f"{w()}_{w()}_{w()}", f"{w().upper()} {w().upper()}", f"{w()}/{w()}/{w()}", f"{d(2)}-{d(2)}", f"{d(4)}-{d(4)}", f"{w()}={w()}", f"{w()}: {w()}", "-" * r.randint(3, 20), r.choice("=*#.|&%$!?") * r.randint(2, 12),
+        f"{d(3)} {w()} {d(4)}", f"No. {d(4)}", f"{d(1)}th", f"{d(3)}.{d(2)}", f"{w()}_{w()}_{w()}", f"{w().upper()} {w().upper()}", f"{w()}/{w()}/{w()}", f"{d(2)}-{d(2)}", f"{d(4)}-{d(4)}", f"{w()}={w()}", f"{w()}: {w()}", f"{w()} " * r.randint(2, 20), "-" * r.randint(3, 20), r.choice("=*#.|&%$!?") * r.randint(2, 12),
     ])
 
 
@@ -117,7 +121,10 @@ def labelled(texts: list[str], rows: int, length: int, seed: int = 0) -> tuple[n
                     source = r.choice(split)
                     at = r.randrange(len(source))
                 w, at = source[at], at + 1
-                add((w if r.random() < 0.95 else w.title()) + noise + (" " if r.random() < 0.96 else "\n"), 0)
+                u = r.random()
+                # words of letters at will stand for those the passages don't have
+                w = w if u < 0.9 else w.title() if u < 0.95 else "".join(r.choice(LETTERS) for _ in range(r.randint(1, 10)))
+                add(w + noise + (" " if r.random() < 0.96 else "\n"), 0)
             what = 1 if bare else r.random()
             if what < 0.5:
                 n = r.randrange(len(KINDS))
@@ -293,6 +300,7 @@ class Network:
                 z = best[:, :, None] + A
                 back[t] = z.argmax(axis=1)
                 best = z.max(axis=1) + s[t]
+                best -= best.max(axis=1, keepdims=True)  # sums over long texts would lose what decides
             last = length == t + 1
             ends[last] = best[last] + A[:, 0]
         out = np.zeros((T, B), np.int8)
@@ -306,7 +314,7 @@ class Network:
         return out.T
 
 
-def fitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 400, passage: int = 2000, spans: int = 6000, steps: int = 600, hidden: int = 10) -> Network:
+def fitted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 400, passage: int = 2000, spans: int = 9000, steps: int = 900, hidden: int = 10) -> Network:
     """A network trained on ``spans`` windows of labelled spans, made of passages of at most ``train_rows`` documents.
 
     The documents are those without a digit or @, and so without personal data, whose ids hash lowest; of each a
