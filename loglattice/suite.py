@@ -158,7 +158,7 @@ CASES: dict[str, Case] = {
     "percentile_sketch": Case("lineitem", "* | p50(l_quantity), p90(l_quantity), p99(l_linenumber) by l_returnflag",
         "SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.9) AS p90, quantile_disc(l_linenumber, 0.99)::DOUBLE AS p99 FROM lineitem GROUP BY ALL"),
     "duplicate_names": Case("orders", "* | count, count(o_totalprice > 100000), sum(o_custkey) as x, max(o_custkey) as x by o_orderstatus", "SELECT o_orderstatus, count(*) AS _count, count(*) FILTER (o_totalprice > 100000) AS _count_2, sum(o_custkey)::DOUBLE AS x, max(o_custkey)::DOUBLE AS x_2 FROM orders GROUP BY ALL"),
-    "sort_places": Case("orders", "* | count, sum(o_totalprice) as spent by o_custkey | sort by _count desc, spent, o_custkey | 1 as one | total(one) as place | fields o_custkey, place", "SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, sum(o_totalprice) DESC, o_custkey DESC)::DOUBLE AS place FROM orders GROUP BY o_custkey"),
+    "sort_places": Case("orders", "* | count, sum(o_totalprice) as spent by o_custkey | sort by _count, spent, o_custkey desc | 1 as one | total(one) as place | fields o_custkey, place", "SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, sum(o_totalprice) DESC, o_custkey DESC)::DOUBLE AS place FROM orders GROUP BY o_custkey"),
     "compare_mixed_types": Case("orders", "* | json | where v > 2000 | where v != 5001 | count, count_distinct(v) as many by kind",
         "SELECT kind, count(*) AS _count, count(DISTINCT CASE kind WHEN 1 THEN (o_orderkey / 2)::VARCHAR WHEN 2 THEN o_orderpriority ELSE o_orderkey::VARCHAR END) AS many FROM (SELECT *, (o_orderkey % 5)::VARCHAR AS kind0, o_orderkey % 5 AS kind FROM orders) WHERE (kind = 0 AND o_orderkey > 2000 AND o_orderkey <> 5001) OR (kind = 1 AND o_orderkey / 2 > 2000 AND o_orderkey / 2 <> 5001) OR kind = 2 GROUP BY kind",
         {"raw": "line", "prepare": _mixed, "types": {"kind": "bigint"}}),
@@ -166,7 +166,7 @@ CASES: dict[str, Case] = {
         "SELECT kind, kind = 4 AS a, kind = 4 AS b, kind = 4 AS c, kind IN (0, 1) OR (kind = 2 AND regexp_matches(o_orderpriority, '[0-9]')) AS d, count(*) AS _count FROM (SELECT *, o_orderkey % 5 AS kind FROM orders) GROUP BY ALL", {"raw": "line", "prepare": _mixed, "types": {"kind": "bigint"}}),
     "parse_date_text": Case("orders", "* | parseDate(line) as d | fields o_orderkey, d", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders", {"raw": "line", "prepare": _dates}),
     "parse_hex_column": Case("orders", "* | parseHex(line) as n | fields o_orderkey, n", "SELECT o_orderkey, o_orderkey AS n FROM orders", {"raw": "line", "prepare": lambda d: d.select("o_orderkey", F.concat(F.lit("0x"), F.lower(F.hex("o_orderkey"))).alias("line"))}),
-    "where_none": Case("lineitem", "* | where l_quantity < 30 and l_orderkey > 100 or 0.09 <= l_discount | where some < 3 or some != 3 | count by some", "SELECT some, count(*) AS _count FROM (SELECT *, CASE WHEN l_linenumber > 2 THEN l_linenumber::BIGINT END AS some FROM lineitem) WHERE ((l_quantity < 30 AND l_orderkey > 100) OR l_discount >= 0.09) AND (some IS NULL OR some <> 3) GROUP BY ALL", {"prepare": lambda d: d.withColumn("some", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")))}),
+    "where_none": Case("lineitem", "* | where l_quantity < 30 and l_orderkey > 100 or 0.09 <= l_discount | where some < 3 or some != 3 | count by some", 'SELECT "some", count(*) AS _count FROM (SELECT *, CASE WHEN l_linenumber > 2 THEN l_linenumber::BIGINT END AS "some" FROM lineitem) WHERE ((l_quantity < 30 AND l_orderkey > 100) OR l_discount >= 0.09) AND ("some" IS NULL OR "some" <> 3) GROUP BY ALL', {"prepare": lambda d: d.withColumn("some", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber")))}),
     "nested_path": Case("events", '* | json | a.list[-1] as last | a.["the kind"] as kind | sum(a.list[0]) as s, sum(last) as seven, count(v > 50) as high by kind',
         "SELECT event_type AS kind, sum(event_id)::DOUBLE AS s, count(*) * 7.0::DOUBLE AS seven, count(*) FILTER (event_id % 3 = 0 AND value > 50) AS high FROM events GROUP BY 1", {"raw": "line", "prepare": _nested}),
     "math_fns": Case("customer", "* | abs(c_acctbal) as abs_ | ceil(c_acctbal) as ceil_ | floor(c_acctbal) as floor_ | round(c_acctbal) as round_ | sqrt(abs_) as sqrt_ | cbrt(c_acctbal) as cbrt_ | log(abs_ + 1) as log_ | log10(abs_ + 1) as log10_ | log1p(abs_) as log1p_ | hypot(c_custkey, 3) as hypot_ | atan2(c_acctbal, 100) as atan2_ | toRadians(c_acctbal) as rad_ | toDegrees(c_custkey / 1000) as deg_ | fields + c_custkey, abs_, ceil_, floor_, round_, sqrt_, cbrt_, log_, log10_, log1p_, hypot_, atan2_, rad_, deg_",
