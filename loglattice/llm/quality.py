@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, column, columns, fresh, mixed
+from .common import BLANK, column, columns, drop_written, fresh, mixed, written
 
 CLASSES = ("clean", "low", "toxic")
 #: words of no score added to each average, so that a single word decides little
@@ -79,6 +79,29 @@ def vector(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     return f.astype(np.int32), (total[f] / (n + PAD)).astype(np.float32)
 
 
+def packed(f: np.ndarray, w: np.ndarray, buckets: int = BUCKETS) -> bytes:
+    """A vector in 4 bytes a feature: how many features each 2¹⁶ of the buckets have, the largest weight, the rest of the features, weights as halves."""
+    largest = np.float32(w.max() if len(w) else 1)
+    return np.bincount(f >> 16, minlength=-(-buckets >> 16)).astype(np.int32).tobytes() + largest.tobytes() + f.astype(np.uint16).tobytes() + (w / largest).astype(np.float16).tobytes()
+
+
+class Packed(Sequence):
+    """Vectors as :func:`packed` made them, unpacked when asked for."""
+
+    def __init__(self, rows: pa.ChunkedArray, buckets: int = BUCKETS):
+        self.rows, self.parts = rows.combine_chunks(), -(-buckets >> 16)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        data = self.rows[k].as_buffer()
+        many, head = np.frombuffer(data, np.int32, self.parts), 4 * self.parts + 4
+        n = int(many.sum())
+        f = np.frombuffer(data, np.uint16, n, head).astype(np.int32) + (np.repeat(np.arange(self.parts, dtype=np.int32), many) << 16)
+        return f, np.frombuffer(data, np.float16, n, head + 2 * n).astype(np.float32) * np.frombuffer(data, np.float32, 1, head - 4)
+
+
 @dataclass
 class Model:
     """``scores[f]`` is what feature f adds to each class's logit: its vector times the output layer."""
@@ -93,7 +116,7 @@ class Model:
         return np.stack([np.bincount(word, self.scores[f, k], len(words)) for k in range(len(CLASSES))], axis=1) / n[:, None]
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *, dim: int = 10, buckets: int = BUCKETS, least_docs: int = 5, epochs: int = 10, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
+def train(vectors: Sequence[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *, dim: int = 10, buckets: int = BUCKETS, least_docs: int = 5, epochs: int = 10, batch: int = 32, rate: float = 1.5, seed: int = 0) -> Model:
     """Stochastic gradient descent on the cross-entropy, with Adagrad steps; the same vectors give the same model.
 
     Features of fewer than ``least_docs`` documents count as 0.
@@ -102,21 +125,21 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, *,
     for f, _ in vectors:
         docs_with[f] += 1
     common = docs_with >= least_docs
-    vectors = [(f[common[f]], w[common[f]]) for f, w in vectors]
+    some = np.flatnonzero([common[f].any() for f, _ in vectors])
     rng = np.random.default_rng(seed)
     E = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     W = rng.uniform(-1 / dim, 1 / dim, (dim, len(CLASSES))).astype(np.float32)
     b = np.zeros(len(CLASSES), np.float32)
     gE, gW, gb = np.full(buckets, 1e-10, np.float32), np.full_like(W, 1e-6), np.full_like(b, 1e-6)
     target = np.eye(len(CLASSES), dtype=np.float32)[classes]
-    some = np.array([k for k, (f, _) in enumerate(vectors) if len(f)], np.int64)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         rng.shuffle(some)
         for at in range(0, len(some), batch):
             rows = some[at : at + batch]
-            size = np.array([len(vectors[k][0]) for k in rows])
-            f, v = (np.concatenate([vectors[k][j] for k in rows]) for j in (0, 1))
+            parts = [(f[common[f]], w[common[f]]) for f, w in (vectors[k] for k in rows)]
+            size = np.array([len(f) for f, _ in parts])
+            f, v = (np.concatenate(x) for x in zip(*parts))
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             h = np.add.reduceat(E[f] * v[:, None], start, axis=0)
             z = h @ W + b
@@ -195,14 +218,17 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                f, w = vector(batch.column(2)[k].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([f.tobytes()]), pa.array([w.tobytes()])], ["id", "kind", "f", "w"])
+                features = packed(*vector(batch.column(2)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([features])], ["id", "kind", "features"])
 
     kind_ = docs.schema[id_col].dataType.simpleString()
     rows = texts.join(F.broadcast(few), "id").groupBy("id", "kind").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind_}, kind int, f binary, w binary").orderBy("id").select("kind", "f", "w").toArrow()
-    vectors = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for f, w in zip(rows.column("f"), rows.column("w"))]
-    return train(vectors, rows.column("kind").to_numpy().astype(np.int64))
+    rows = rows.mapInArrow(run, f"id {kind_}, kind int, features binary")
+    # what is sorted is written first, or vectors would be made twice, for the splitters and for the rows
+    held = written(rows, "vectors")
+    rows = held.orderBy("id").select("kind", "features").toArrow()
+    drop_written(held)
+    return train(Packed(rows.column("features")), rows.column("kind").to_numpy().astype(np.int64))
 
 
 def classify(docs: DataFrame, model: Model | None, *, text_col: str = "text", score_col: str = "p_clean", toxic_col: str = "p_toxic") -> DataFrame:

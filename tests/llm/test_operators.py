@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loglattice.llm import exact, mixing, packing, pii, quality, simhash, suffix, tokens, vectors, warc
@@ -72,6 +73,14 @@ def test_quality_held_out():
         assert np.allclose(next(quality.probabilities(model, iter([[t]])))[0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
 
 
+def test_quality_packed_vectors():
+    r = random.Random(27)
+    made = [quality.vector(t) for t in ("a", "", words(r, 400), "b " * 70_000 + words(r, 3))]
+    back = quality.Packed(pa.chunked_array([[quality.packed(f, w) for f, w in made]]))
+    for (f, w), (g, v) in zip(made, back):
+        assert np.array_equal(f, g) and np.allclose(w, v, rtol=1e-3, atol=1e-6 * max(w, default=1))
+
+
 def test_quality_tells_the_order_of_words():
     r = random.Random(19)
     texts, labels = [], []
