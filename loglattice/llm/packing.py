@@ -72,6 +72,26 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(column(id_col).alias("doc_id"), F.xxhash64(column(text_col)).alias("text_hash"), column(text_col).alias("text")).where("text <> ''")
 
 
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, keep: bool) -> DataFrame:
+    """(doc_id, text_hash, size) of every row with text, and its tokens one after the other if they are to be kept."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = _width(vocabulary)
+        for batch in batches:
+            made = (list(tokens.encoded(t.as_py(), vocabulary)) for t in batch.column(2))
+            rows = [(sum(map(len, parts)), np.concatenate(parts).astype(small).tobytes() if keep else None) for parts in made]
+            cols = [pa.array([n for n, _ in rows], pa.int64()), *([pa.array([t for _, t in rows], pa.binary())] if keep else [])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "text_hash", "size", *(["tokens"] if keep else [])])
+
+    return _keys(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, text_hash long, size long" + (", tokens binary" if keep else ""))
+
+
+def _width(vocabulary: str) -> np.dtype:
+    """The smallest integers that hold all tokens."""
+    return np.dtype(np.uint16 if len(tokens.encoder(vocabulary)[1]) <= 1 << 16 else np.int32)
+
+
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = 16 << 20, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """(bin, capacity, used, position, doc_id, text_hash, piece, start, length): where the tokens of every text go.
 
@@ -84,16 +104,14 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     Null and empty texts have no tokens and no row. Repeated rows are packed once for each row, null ids like others;
     both are spread over all shards. The same rows give the same bins.
     """
-    capacities = tuple(sorted(capacities))
-    most = capacities[-1]
-    kind = docs.schema[id_col].dataType
+    return _placed(_encoded(docs, id_col, text_col, vocabulary, False), capacities, shard_tokens)
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [sum(map(len, tokens.encoded(t.as_py(), vocabulary))) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "text_hash", "size"])
 
-    sizes = _keys(docs, id_col, text_col).mapInArrow(measured, f"doc_id {kind.simpleString()}, text_hash long, size long")
+def _placed(sizes: DataFrame, capacities: tuple[int, ...], shard_tokens: int) -> DataFrame:
+    """The result of :func:`pack` for (doc_id, text_hash, size) of every row."""
+    capacities = tuple(sorted(capacities))
+    most = capacities[-1]
+    kind = sizes.schema["doc_id"].dataType
     sizes = written(sizes.groupBy("doc_id", "text_hash", "size").count(), "sizes")
     total = sizes.agg(F.sum(F.col("size") * F.col("count"))).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
@@ -122,24 +140,63 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     return spread.groupBy("shard").applyInArrow(run, schema)
 
 
-def sequences(docs: DataFrame, placed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+def sequences(docs: DataFrame, placed: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", capacities: tuple[int, ...] = CAPACITIES, shard_tokens: int = 16 << 20, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     """(bin, capacity, doc_ids, tokens): the sequences that :func:`pack` laid out, with the ids of the documents in them.
 
-    Each document is encoded once and cut where ``pack`` cut it; the pieces, of which none is longer than a sequence,
-    are shuffled to their bins. Rows without text have no part in it; repeated rows are there as often as placed.
+    Each row is encoded once; without ``placed`` the sizes are those of what was encoded. Tokens are shuffled twice:
+    to the places of their document, where repeated rows become one, and in pieces, of which none is longer than a
+    sequence, to their bins. The places of one document in one shard come together, no more than a shard has.
+    Rows without text have no part in it; repeated rows are there as often as placed.
     """
-    most = max(capacities)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
+    coded = _encoded(docs, id_col, text_col, vocabulary, True)
+    if placed is None:
+        coded = written(coded, "encoded")
+        placed = _placed(coded.select("doc_id", "text_hash", "size"), capacities, shard_tokens)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = _width(vocabulary).itemsize
+        for batch in batches:
+            places = batch.column(0)
+            row = np.repeat(np.arange(len(batch)), np.diff(places.offsets.to_numpy()))
+            place = places.flatten()
+            b, capacity, position, ids, start, length = (place.field(k) for k in range(6))
+            data = batch.column(1).to_pylist()
+            pieces = [data[k][width * a : width * (a + n)] for k, a, n in zip(row, start.to_numpy(), length.to_numpy())]
+            yield pa.RecordBatch.from_arrays([b, capacity, position, ids, pa.array(pieces, pa.binary())], ["bin", "capacity", "position", "doc_id", "tokens"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by bin and position, so that the tokens of a batch stand as they are to be; only bins are to be told apart."""
+        held: pa.Table | None = None
+        small = _width(vocabulary)
+
+        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not len(table):
+                return
+            table = table.combine_chunks()
+            bins = table.column("bin").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+            data = table.column("tokens").to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(x) // small.itemsize for x in data])])[np.append(first, len(data))]
+            ids = pa.ListArray.from_arrays(pa.array(np.append(first, len(data)), pa.int32()), table.column("doc_id").combine_chunks())
+            flat = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(data), small).astype(np.int32)))
+            some = table.select(["bin", "capacity"]).take(pa.array(first)).combine_chunks()
+            yield from pa.table([*some.columns, ids, flat], ["bin", "capacity", "doc_ids", "tokens"]).to_batches()
+
         for batch in batches:
-            for k, text in enumerate(batch.column(2)):
-                flat = np.concatenate(list(tokens.encoded(text.as_py(), vocabulary))).astype(np.int32)
-                at = np.append(np.arange(0, len(flat), most), len(flat)).astype(np.int32)
-                rows = pa.array(np.full(len(at) - 1, k))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.arange(len(at) - 1, dtype=np.int32)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["d", "h", "p", "tokens"])
-
-    pieces = _keys(docs, id_col, text_col).mapInArrow(cut, f"d {kind}, h long, p int, tokens array<int>").dropDuplicates(["d", "h", "p"])
-    both = placed.join(pieces, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("piece") == F.col("p")))
-    parts = both.groupBy("bin", "capacity").agg(F.sort_array(F.collect_list(F.struct("position", "doc_id", "tokens"))).alias("parts"))
-    return parts.select("bin", "capacity", F.col("parts.doc_id").alias("doc_ids"), F.flatten("parts.tokens").alias("tokens"))
+            if len(batch):
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+                bins = held.column("bin").to_numpy()
+                last = int(np.searchsorted(bins, bins[-1]))
+                yield from made(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield from made(held)
+
+    # a null id is a value here, so that both sides are joined by a hash of the id; what has the same text has the same tokens
+    key = F.xxhash64("doc_id").alias("k")
+    places = placed.groupBy(key, "text_hash", F.shiftright("bin", 32).alias("shard")).agg(F.collect_list(F.struct("bin", "capacity", "position", "doc_id", "start", "length")).alias("places"))
+    coded = coded.select(key, "text_hash", "tokens").dropDuplicates(["k", "text_hash"])
+    pieces = places.join(coded, ["k", "text_hash"]).select("places", "tokens").mapInArrow(cut, f"bin long, capacity int, position int, doc_id {kind.simpleString()}, tokens binary")
+    rows = pieces.repartition("bin").sortWithinPartitions("bin", "position").select("bin", "capacity", "doc_id", "tokens")
+    return rows.mapInArrow(joined, f"bin long, capacity int, doc_ids array<{kind.simpleString()}>, tokens array<int>")
