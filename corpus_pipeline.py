@@ -27,7 +27,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.sequences(docs, packing.pack(docs))
+    return packing.sequences(docs)
 
 
 STAGES = [
