@@ -362,26 +362,36 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def shared_grams(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many elements sets i and j have in common, for each pair."""
-    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    own = [sets[k] for k in used]
-    names, flat = np.unique(np.concatenate(own), return_inverse=True) if own else (np.zeros(0), np.zeros(0, np.int64))
-    # elements of one set alone are in no intersection
-    many = np.bincount(flat, minlength=len(names))
-    place = np.cumsum(many > 1) - 1
-    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    row, col = row[many[flat] > 1], place[flat[many[flat] > 1]]
-    width = int((many > 1).sum())
-    if len(own) ** 2 * width > 20_000 * 100_000 + len(i) * 200_000:
+    """How many elements, small numbers in order, sets i and j have in common, for each pair."""
+    side, at, rows, cols = [], [], [], []
+    for k in (i, j):
+        used = np.zeros(len(sets), bool)
+        used[k] = True
+        side.append(np.flatnonzero(used))
+        at.append((np.cumsum(used) - 1).astype(np.int32)[k])
+    n = 1 + max((int(sets[k][-1]) for x in side for k in x if len(sets[k])), default=0)
+    every = [np.concatenate([sets[k] for k in x]) for x in (*side, np.union1d(*side))]
+    # elements of one side or of one set alone are in no intersection
+    many = (np.bincount(every[0], minlength=n) > 0) & (np.bincount(every[1], minlength=n) > 0) & (np.bincount(every[2], minlength=n) > 1)
+    place, width = (np.cumsum(many) - 1).astype(np.int32), int(many.sum())
+    if len(side[0]) * len(side[1]) * width > 20_000 * 100_000 + len(i) * 200_000:
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
-    total = np.zeros((len(own), len(own)), np.float32)
-    step = max(1, 8_000_000 // max(1, len(own)))
+    for x, flat in zip(side, every):
+        row = np.repeat(np.arange(len(x), dtype=np.int32), [len(sets[k]) for k in x])
+        ok = many[flat]
+        rows.append(row[ok])
+        cols.append(place[flat[ok]])
+    total = np.zeros((len(side[0]), len(side[1])), np.float32)
+    step = max(1, 4_000_000 // max(1, *map(len, side)))
     for k in range(0, width, step):
-        part = (col >= k) & (col < k + step)
-        m = np.zeros((len(own), min(step, width - k)), np.float32)
-        m[row[part], col[part] - k] = 1
-        total += m @ m.T
-    return total[at[: len(i)], at[len(i) :]].astype(np.int64)
+        parts = []
+        for x, row, col in zip(side, rows, cols):
+            part = (col >= k) & (col < k + step)
+            m = np.zeros((len(x), min(step, width - k)), np.float32)
+            m[row[part], col[part] - k] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total[at[0], at[1]].astype(np.int64)
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k: int, least: float, block_words: int) -> DataFrame:
@@ -397,8 +407,11 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
         words = WordHashes()
         sets = [np.unique(shingles(words.of(t.as_py().lower().split()), k)) for t in texts]
         size = np.array([len(x) for x in sets])
+        # hashes as small numbers, in their order
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        sets = np.split(flat, np.cumsum(size)[:-1])
         root, links = np.arange(len(nid)), np.zeros(len(nid), np.int64)
-        step = max(1, 4_000_000 // max(1, len(nid)))
+        step = max(1, 1_000_000 // max(1, len(nid)))
         for a in range(0, len(nid), step):
             near = np.bitwise_count((sig[a : a + step, None] ^ sig[None, :]).view(np.uint64)) <= tau
             i, j = np.nonzero(near)
