@@ -124,7 +124,7 @@ class Compiler:
             return None
         test = {"<": x.col < y.col, "<=": x.col <= y.col, ">": x.col > y.col, ">=": x.col >= y.col, "==": x.col == y.col, "!=": x.col != y.col}[op]
         if op in ("<", "<=", "!="):  # an explicit None is another value, and comes before all else
-            test = test | x.col.isNull()
+            test = test | (F.col(self.state.narrow[field.name]) if field.name in self.state.narrow else x.col).isNull()
         return test if y.ok is None else test & y.ok
 
     def why(self, node: n.Node) -> Column:

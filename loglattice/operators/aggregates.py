@@ -82,7 +82,7 @@ def aggregate(state: State, op: n.Aggregate, compile_: Compiler) -> State:
     first = ["_timeslice", *names] if ascending else names
     order = [By(col(x), not ascending, not ascending or kinds[x] == "dyn") for x in first]
     order += [By(col(x), False, kinds[x] == "dyn") for x in keys if x not in first]
-    return state.with_(df=df, fields=kinds, order=tuple(order), natural=False, table=True, raw=None, variants={})
+    return state.with_(df=df, fields=kinds, order=tuple(order), natural=False, table=True, raw=None, variants={}, narrow={})
 
 
 __all__ = ["aggregate", "names_of", "Val"]

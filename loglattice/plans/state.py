@@ -34,7 +34,7 @@ class State:
 
     ``order`` has the columns that give the order of the rows; ``natural``: whether it is that of the partitions.
     ``table``: whether rows are those of an aggregate. ``variants`` has for fields of parsed JSON the column of the
-    whole and their key in it. ``errors`` are rows dropped because of an error, each a function that gives a DataFrame (line, operator, error).
+    whole and their key in it; ``narrow`` for fields widened from a table's integers the column as the scan knows it. ``errors`` are rows dropped because of an error, each a function that gives a DataFrame (line, operator, error).
     """
 
     df: DataFrame
@@ -47,6 +47,7 @@ class State:
     errors: tuple = field(default=())
     natural: bool = False
     variants: dict = field(default_factory=dict)
+    narrow: dict = field(default_factory=dict)
 
     def scope(self) -> dict[str, Val]:
         return {name: Val(kind, col(name)) for name, kind in self.fields.items()}
@@ -62,7 +63,7 @@ class State:
         if keep_old and name in self.fields:
             column = F.coalesce(column, dyn(Val(self.fields[name], col(name))))
         variants = {k: x for k, x in self.variants.items() if k != name}
-        return self.with_(df=self.df.withColumn(slot(name), column), fields=self.fields | {name: v.kind}, variants=variants)
+        return self.with_(df=self.df.withColumn(slot(name), column), fields=self.fields | {name: v.kind}, variants=variants, narrow={k: x for k, x in self.narrow.items() if k != name})
 
     def failed(self, operator: str, why: Callable[[], Column]) -> State:
         """Note the rows that an operator drops, those in which ``why()`` isn't null. It is called only if errors are asked
@@ -80,7 +81,7 @@ class State:
     def set_all(self, values: dict[str, Val], keep: Column | None = None) -> State:
         """Filter by ``keep``, then set fields that are good in all rows kept."""
         df = self.df if keep is None else self.df.where(keep)
-        return self.with_(df=df.withColumns({slot(k): v.col for k, v in values.items()}), fields=self.fields | {k: v.kind for k, v in values.items()})
+        return self.with_(df=df.withColumns({slot(k): v.col for k, v in values.items()}), fields=self.fields | {k: v.kind for k, v in values.items()}, narrow={k: x for k, x in self.narrow.items() if k not in values})
 
     def raw_text(self) -> Val:
         return Val("str", F.lit("") if self.raw is None else F.col(self.raw), None if self.raw is None else F.col(self.raw).isNotNull())
