@@ -253,7 +253,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
         with pytest.raises(SystemExit):
             main(bad)
     capsys.readouterr()
-    for query, want in (("* | json | n + 1 as m | fields m", "[m=2]\n[m=3]\n"), ("* | json | sum(n)", "_sum\n" + "-" * 12 + "\n3.00\n")):
+    for query, want in (("* | json | n + 1 as m | fields m", "[m=2]\n[m=3]\n"), ("* | json | sum(n)", "_sum\n" + "-" * 12 + "\n3\n")):
         read, write = os.pipe()
         os.write(write, path.read_bytes())
         os.close(write)
