@@ -16,6 +16,10 @@ from .common import WordHashes, blocks, column, components, fresh, mixed, shingl
 BITS = 64
 #: bytes of a sketch
 SLOTS = 128
+#: rows of one key up to which they are compared by neighbours, and as many rows show whether a longer run is dense
+SHORT = 64
+#: neighbours of a row, under one key, from which its pairs aren't listed
+DENSE = 8
 #: microseconds for a row through the shuffle and for a comparison of two signatures, in the cost of a plan
 ROW_COST, PAIR_COST = 1.5, 0.006
 
@@ -266,10 +270,11 @@ def _canonical(plan, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 def _within(key: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, plan, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i in left, j in right) of one key's rows within ``tau`` of which the key is the canonical one; i < j if both are the same."""
     out = [(np.zeros(0, np.int64),) * 2]
-    step = max(1, 4_000_000 // max(1, len(right)))
+    step = max(1, 250_000 // max(1, len(right)))
     for at in range(0, len(left), step):
-        i, j = np.nonzero(np.bitwise_count((sig[left[at : at + step], None] ^ sig[None, right]).view(np.uint64)) <= tau)
-        i, j = left[at + i], right[j]
+        others = right[at:] if left is right else right
+        i, j = np.nonzero(np.bitwise_count((sig[left[at : at + step], None] ^ sig[None, others]).view(np.uint64)) <= tau)
+        i, j = left[at + i], others[j]
         ok = i < j if left is right else np.ones(len(i), bool)
         i, j = i[ok], j[ok]
         ok = _canonical(plan, key[i], sig[i], sig[j])
@@ -277,31 +282,51 @@ def _within(key: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def close_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, hot_rows: int = 1 << 16) -> DataFrame:
-    """(a, b): nids of the signatures within ``tau``, each pair once, a < b.
+def _compared(key: np.ndarray, sig: np.ndarray, plan, tau: int, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of one key within ``tau`` of which the key is the canonical one, i < j, and places of the rows of dense keys, which aren't compared.
 
-    Rows come sorted by key. Within a run of one key every row is compared with every other, by whole arrays at once:
-    with the row next to it, then with the one after that, and so on. A key of more than about ``hot_rows`` rows, as
-    one node in 64 shows, is cut into blocks by a hash, and each two blocks are compared in a group of their own.
+    Rows come sorted by key. In short runs of one key a row is compared with the next one, then with the one after
+    that, and so on, by whole arrays at once; long runs are compared by blocks. A long run is dense if a sample of its
+    rows has more than ``dense`` neighbours each; 0: none is.
+    """
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    left, right, whole = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at, end = np.arange(len(key)), np.repeat(start + size, size)
+    at = at[np.repeat(size <= SHORT, size)]
+    lag = 1
+    while len(at):
+        at = at[at + lag < end[at]]
+        near = at[np.bitwise_count((sig[at] ^ sig[at + lag]).view(np.uint64)) <= tau]
+        if len(near):
+            near = near[_canonical(plan, key[near], sig[near], sig[near + lag])]
+            left.append(near)
+            right.append(near + lag)
+        lag += 1
+    for k in np.flatnonzero(size > SHORT):
+        run = np.arange(start[k], start[k] + size[k])
+        some = run[:: max(1, len(run) // SHORT)]
+        if dense and (np.bitwise_count((sig[some, None] ^ sig[None, run]).view(np.uint64)) <= tau).sum() > (dense + 1) * len(some):
+            whole.append(run)
+            continue
+        i, j = _within(key, sig, run, run, plan, tau)
+        left.append(i)
+        right.append(j)
+    return tuple(map(np.concatenate, (left, right, whole)))
+
+
+def _searched(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, hot_rows: int, dense: int) -> tuple[DataFrame, DataFrame | None]:
+    """((key, a, b), hot): pairs within ``tau``, each once, under key -1; rows of dense keys, as a and b, under their key. The rows of hot keys aren't among them.
+
+    A key is hot if it has more than about ``hot_rows`` rows, as one node in 64 shows; hot is (key, sig, nid, lo, hi, side): the rows in blocks by a hash, each two of which are a group.
     """
     probed = probes(nodes, plan)
 
     def compare(table: pa.Table) -> pa.Table:
         key, sig = (table.column(c).to_numpy() for c in (0, 1))
-        left, right = [], []
-        at = np.arange(len(key))
-        lag = 1
-        while len(at):
-            at = at[at + lag < len(key)]
-            at = at[key[at] == key[at + lag]]
-            near = at[np.bitwise_count((sig[at] ^ sig[at + lag]).view(np.uint64)) <= tau]
-            if len(near):
-                near = near[_canonical(plan, key[near], sig[near], sig[near + lag])]
-                left.append(near)
-                right.append(near + lag)
-            lag += 1
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": table.column(2).take(pa.array(i)), "b": table.column(2).take(pa.array(j))})
+        nid = table.column(2).to_numpy()
+        i, j, whole = _compared(key, sig, plan, tau, dense)
+        return pa.table({"key": np.concatenate([np.full(len(i), -1), key[whole]]), "a": nid[np.concatenate([i, whole])], "b": nid[np.concatenate([j, whole])]})
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -321,14 +346,7 @@ def close_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, h
         if held:
             yield from compare(pa.Table.from_batches(held)).to_batches()
 
-    def cross(table: pa.Table) -> pa.Table:
-        key, sig, side = (table.column(c).to_numpy() for c in ("key", "sig", "side"))
-        left = np.flatnonzero(side <= 0)
-        right = left if len(left) and side[left[0]] < 0 else np.flatnonzero(side > 0)
-        i, j = _within(key, sig, left, right, plan, tau)
-        return pa.table({"a": table.column("nid").take(pa.array(i)), "b": table.column("nid").take(pa.array(j))})
-
-    cold, found = probed, None
+    cold, rows = probed, None
     some = nodes.where(F.pmod(F.xxhash64("nid"), F.lit(64)) == 0)
     hot = written(probes(some, plan).groupBy("key").count().where(F.col("count") > max(1, hot_rows // 64)).select("key", F.ceil(F.col("count") * 64 / hot_rows).alias("m")), "hot")
     if not hot.isEmpty():
@@ -337,15 +355,73 @@ def close_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, h
         rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
         side = F.when(F.col("block") == F.col("j"), -1).when(F.col("block") < F.col("j"), 0).otherwise(1)
         rows = rows.select("key", "sig", "nid", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), side.alias("side"))
-        found = rows.groupBy("key", "lo", "hi").applyInArrow(cross, "a long, b long")
-    pairs = cold.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    pairs = pairs if found is None else pairs.union(found)
+    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, a long, b long")
+    return found.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows
+
+
+def close_pairs(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, hot_rows: int = 1 << 16) -> DataFrame:
+    """(a, b): nids of the signatures within ``tau``, each pair once, a < b."""
+
+    def cross(table: pa.Table) -> pa.Table:
+        key, sig, side = (table.column(c).to_numpy() for c in ("key", "sig", "side"))
+        left = np.flatnonzero(side <= 0)
+        right = left if len(left) and side[left[0]] < 0 else np.flatnonzero(side > 0)
+        i, j = _within(key, sig, left, right, plan, tau)
+        return pa.table({"a": table.column("nid").take(pa.array(i)), "b": table.column("nid").take(pa.array(j))})
+
+    found, hot = _searched(nodes, plan, tau, hot_rows, 0)
+    pairs = found.select("a", "b")
+    if hot is not None:
+        pairs = pairs.union(hot.groupBy("key", "lo", "hi").applyInArrow(cross, "a long, b long"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def forest(sig: np.ndarray, marks: np.ndarray, tau: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) within ``tau`` whose sketches allow a Jaccard index of ``least``, one less than rows for each set of rows that all such pairs connect."""
+    left, right, todo = [], [], np.arange(len(sig))
+    while len(todo):
+        front, todo = [todo[0]], todo[1:]
+        while front and len(todo):
+            i = front.pop()
+            at = np.flatnonzero(np.bitwise_count((sig[i] ^ sig[todo]).view(np.uint64)) <= tau)
+            at = at[alike(marks[i : i + 1], marks[todo[at]], least)]
+            if len(at):
+                left.append(np.full(len(at), i))
+                right.append(todo[at])
+                front.extend(todo[at])
+                todo = np.delete(todo, at)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+
+
+def connections(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, least: float, hot_rows: int = 1 << 16, dense: int = DENSE) -> DataFrame:
+    """(a, b): pairs within ``tau`` whose sketches allow a Jaccard index of ``least``. What all such pairs connect, these do.
+
+    Large groups of near copies have pairs by the square of their size. Under keys where a row has more than ``dense``
+    neighbours only the rows are given; they meet again with their sketches, and pairs that connect them are enough.
+    """
+
+    def trees(table: pa.Table) -> pa.Table:
+        nid, at = np.unique(table.column("nid").to_numpy(), return_index=True)
+        table = table.take(pa.array(at))
+        i, j = forest(table.column("sig").to_numpy(), _marks(table.column("sketch")), tau, least)
+        return pa.table({"a": nid[i], "b": nid[j]})
+
+    found, hot = _searched(nodes, plan, tau, hot_rows, dense)
+    found = written(found, "near")
+    rows = found.where("key >= 0").select("key", F.col("a").alias("nid"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    if hot is not None:
+        rows = rows.union(hot.select("key", "nid", "lo", "hi"))
+    met = rows.join(nodes.select("nid", "sig", "sketch"), "nid").groupBy("key", "lo", "hi").applyInArrow(trees, "a long, b long")
+    return plausible(found.where("key < 0").select("a", "b"), nodes, least).union(met)
+
+
 # --- verification
 
 
+def _marks(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, SLOTS)
+
+
 def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs whose sketches allow a Jaccard index of ``least``. What is within reach by chance goes here, before
     pairs are connected: else, from some 10^8 documents on, chance alone would connect most of them.
@@ -353,45 +429,57 @@ def plausible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS) for c in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(alike(a, b, least)))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(_marks(batch.column(2)), _marks(batch.column(3)), least)))
 
     side = lambda x: nodes.select(F.col("nid").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(run, "a long, b long")
 
 
-def shared_grams(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """How many elements, small numbers in order, sets i and j have in common, for each pair."""
-    side, at, rows, cols = [], [], [], []
-    for k in (i, j):
-        used = np.zeros(len(sets), bool)
-        used[k] = True
-        side.append(np.flatnonzero(used))
-        at.append((np.cumsum(used) - 1).astype(np.int32)[k])
-    n = 1 + max((int(sets[k][-1]) for x in side for k in x if len(sets[k])), default=0)
-    every = [np.concatenate([sets[k] for k in x]) for x in (*side, np.union1d(*side))]
-    # elements of one side or of one set alone are in no intersection
-    many = (np.bincount(every[0], minlength=n) > 0) & (np.bincount(every[1], minlength=n) > 0) & (np.bincount(every[2], minlength=n) > 1)
-    place, width = (np.cumsum(many) - 1).astype(np.int32), int(many.sum())
-    if len(side[0]) * len(side[1]) * width > 20_000 * 100_000 + len(i) * 200_000:
-        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
-    for x, flat in zip(side, every):
-        row = np.repeat(np.arange(len(x), dtype=np.int32), [len(sets[k]) for k in x])
-        ok = many[flat]
-        rows.append(row[ok])
-        cols.append(place[flat[ok]])
-    total = np.zeros((len(side[0]), len(side[1])), np.float32)
-    step = max(1, 4_000_000 // max(1, *map(len, side)))
-    for k in range(0, width, step):
-        parts = []
-        for x, row, col in zip(side, rows, cols):
-            part = (col >= k) & (col < k + step)
-            m = np.zeros((len(x), min(step, width - k)), np.float32)
-            m[row[part], col[part] - k] = 1
-            parts.append(m)
-        total += parts[0] @ parts[1].T
-    return total[at[0], at[1]].astype(np.int64)
+class Shared:
+    """How many elements, small numbers, two different sets have in common: for some sets against others, by whole blocks.
+
+    Elements of many sets are columns of a matrix that is multiplied with itself; of the others the sets that have
+    one are listed.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        row, flat = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        count = np.bincount(flat)
+        # an element of one set alone is in no intersection; a sum of the matrix product costs a 200th of an entry in a list
+        many = (count > 1) & (count.astype(float) ** 2 > len(sets) ** 2 / 200)
+        at = many[flat]
+        self.matrix = np.zeros((len(sets), int(many.sum())), np.uint8)
+        self.matrix[row[at], (np.cumsum(many) - 1)[flat[at]]] = 1
+        at = (count > 1)[flat] & ~at
+        self.flat = flat[at]
+        self.first = np.searchsorted(row[at], np.arange(len(sets) + 1))
+        order = np.argsort(self.flat, kind="stable")
+        self.row = row[at][order].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(self.flat, minlength=len(count)))])
+
+    def of(self, low: int, high: int, begin: int, end: int) -> np.ndarray:
+        """Counts for sets low to high against sets begin to end."""
+        width = end - begin
+        total = np.zeros((high - low, width), np.float32)
+        step = max(1, 8_000_000 // max(1, width, high - low))
+        for k in range(0, self.matrix.shape[1], step):
+            m = self.matrix[:, k : k + step]
+            total += m[low:high].astype(np.float32) @ m[begin:end].astype(np.float32).T
+        flat = self.flat[self.first[low] : self.first[high]]
+        mine = np.repeat(np.arange(high - low), np.diff(self.first[low : high + 1]))
+        size = self.start[flat + 1] - self.start[flat]
+        ends = np.cumsum(size)
+        k = 0
+        while k < len(flat):  # as many entries at a time as fit
+            to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4_000_000, "right")))
+            n = size[k:to]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[flat[k:to]], n)
+            col = self.row[at]
+            ok = (col >= begin) & (col < end)
+            total += np.bincount(np.repeat(mine[k:to], n)[ok] * width + (col[ok] - begin), minlength=total.size).reshape(total.shape)
+            k = to
+        return total
 
 
 def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k: int, least: float, block_words: int) -> DataFrame:
@@ -402,7 +490,9 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
 
     def run(table: pa.Table) -> pa.Table:
         nid, at = np.unique(table.column("nid").to_numpy(), return_index=True)
+        at = at[np.argsort(table.column("side").to_numpy()[at], kind="stable")]
         table = table.take(pa.array(at))
+        nid = table.column("nid").to_numpy()
         sig, side, texts = table.column("sig").to_numpy(), table.column("side").to_numpy(), table.column("text")
         words = WordHashes()
         sets = [np.unique(shingles(words.of(t.as_py().lower().split()), k)) for t in texts]
@@ -411,17 +501,17 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
         sets = np.split(flat, np.cumsum(size)[:-1])
         root, links = np.arange(len(nid)), np.zeros(len(nid), np.int64)
-        step = max(1, 1_000_000 // max(1, len(nid)))
-        for a in range(0, len(nid), step):
-            near = np.bitwise_count((sig[a : a + step, None] ^ sig[None, :]).view(np.uint64)) <= tau
-            i, j = np.nonzero(near)
-            i += a
-            ok = (i < j) & ((side[i] < 0) | (side[i] != side[j])) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]))
-            i, j = i[ok], j[ok]
+        shared, one = Shared(sets), side[0] < 0
+        rows = len(nid) if one else int((side == 0).sum())
+        step = max(1, 2_000_000 // len(nid))
+        for a in range(0, rows, step):
+            end, begin = min(a + step, rows), a if one else rows
+            near = np.bitwise_count((sig[a:end, None] ^ sig[None, begin:]).view(np.uint64)) <= tau
+            i, j = np.nonzero(np.triu(near, 1) if one else near)
             if not len(i):
                 continue
-            shared = shared_grams(sets, i, j)
-            ok = shared >= least * (size[i] + size[j] - shared)
+            both, i, j = shared.of(a, end, begin, len(nid))[i, j].astype(np.int64), i + a, j + begin
+            ok = both >= least * (size[i] + size[j] - both)
             i, j = i[ok], j[ok]
             links += np.bincount(i, minlength=len(nid)) + np.bincount(j, minlength=len(nid))
             while True:  # each node takes the least root of those linked to it, until none changes
@@ -449,7 +539,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, tau: int, shingle: int,
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("nid"), "sig", "h1", "h2", "own.id", "own.t", "n", "sketch"), "nodes")
     n, both = bit_statistics(nodes)
     if n > 1:
-        pairs = written(plausible(close_pairs(nodes, allocated(n, both, tau), tau), nodes, least), "pairs")
+        pairs = connections(nodes, allocated(n, both, tau), tau, least)
         roots = components(pairs)
         found = written(_verified(_texts(docs, id_col, text_col), nodes, roots, tau, shingle, least, block_words), "links")
         groups = components(found.select("nid", "other"), "nid", "other")

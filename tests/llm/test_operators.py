@@ -500,6 +500,57 @@ def test_simhash_against_brute_force(spark, block_words):
     assert {i for i, _ in rows} - alone <= {i for i, _, _ in want} and 500 in alone
 
 
+def test_simhash_lists_few_pairs_of_a_large_group(spark, monkeypatch):
+    r = random.Random(22)
+    base = words(r, 100).split()
+    texts = []
+    for _ in range(500):  # near copies, of which about 120,000 pairs are linked
+        w = list(base)
+        for _ in range(r.randint(1, 4)):
+            w[r.randrange(len(w))] = f"w{r.randrange(4000)}"
+        texts.append(" ".join(w))
+    edges = []
+    components = simhash.components
+    monkeypatch.setattr(simhash, "components", lambda e, *a: edges.append(e.distinct().count()) or components(e, *a))
+    got = {x.doc_id: (x.duplicate_of, x.links) for x in simhash.near_duplicates(table(spark, texts)).collect()}
+    signs = simhash._Signs()
+    sig = np.array([simhash.signature(list(set(t.split())), signs) for t in texts], np.int64)
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    near = np.bitwise_count((sig[:, None] ^ sig).view(np.uint64)) <= 10
+    links = [sum(near[i, j] and i != j and len(grams[i] & grams[j]) >= 0.45 * len(grams[i] | grams[j]) for j in range(500)) for i in range(500)]
+    assert got == {i: (0, links[i]) for i in range(1, 500)} and sum(links) > 200_000
+    assert edges[0] < sum(links) / 8
+
+
+@pytest.mark.parametrize("hot,dense", [(1 << 16, 8), (1 << 16, 0), (64, 8)])
+def test_simhash_connections(spark, monkeypatch, hot, dense):
+    r = np.random.default_rng(23)
+    monkeypatch.setattr(simhash, "SHORT", 16)
+    rows = []
+    for size in (1, 1, 5, 40, 150, 150):
+        sig, marks = r.integers(-(2**63), 2**63 - 1), r.integers(1, 256, simhash.SLOTS).astype(np.uint8)
+        for _ in range(size):
+            flips = sum(1 << int(f) for f in r.choice(63, r.integers(0, 8), replace=False))
+            own = np.where(r.random(simhash.SLOTS) < r.choice([0.05, 0.5, 0.9]), r.integers(1, 256, simhash.SLOTS), marks).astype(np.uint8)
+            rows.append((len(rows), int(sig) ^ flips, bytearray(own.tobytes())))
+    nodes = spark.createDataFrame(rows, "nid long, sig long, sketch binary").repartition(3)
+    plan = simhash.allocated(*simhash.bit_statistics(nodes), 10)
+    want = {tuple(x) for x in simhash.components(simhash.plausible(simhash.close_pairs(nodes, plan, 10), nodes, 0.45)).collect()}
+    pairs = simhash.connections(nodes, plan, 10, 0.45, hot, dense)
+    assert {tuple(x) for x in simhash.components(pairs).collect()} == want and 100 < len(want) < len(rows)
+
+
+def test_shared():
+    r = np.random.default_rng(24)
+    sets = [np.unique(np.concatenate([r.integers(0, 30, r.integers(0, 30)), r.integers(30, 3000, r.integers(1, 200))])) for _ in range(150)]
+    shared = simhash.Shared([x.astype(np.int32) for x in sets])
+    assert shared.matrix.shape[1] and len(shared.flat)
+    for low, high, begin, end in ((0, 150, 0, 150), (10, 40, 35, 150), (7, 8, 149, 150), (0, 60, 60, 150)):
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets[begin:end]] for a in sets[low:high]])
+        other = np.arange(low, high)[:, None] != np.arange(begin, end)
+        assert np.array_equal(shared.of(low, high, begin, end)[other], want[other])
+
+
 def test_simhash_keeps_other_texts_of_an_id(spark):
     r = random.Random(21)
     w, z = words(r, 80), words(r, 80)
