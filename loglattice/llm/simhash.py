@@ -482,10 +482,11 @@ class Shared:
         return total
 
 
-def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k: int, least: float, block_words: int) -> DataFrame:
+def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k: int, least: float, block_words: int, counted: bool) -> DataFrame:
     """(nid, other, links): for each node of a group its number of links, at distance ``tau`` and Jaccard ``least``, to nodes of the same group, and nodes that connect what is linked.
 
-    A group of more than ``block_words`` words is cut into blocks by a hash; each two blocks are a task's work.
+    A group of more than ``block_words`` words is cut into blocks by a hash; each two blocks are a task's work. Unless
+    links are ``counted``, pairs that others connect already aren't verified, and links are at least 1.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -503,11 +504,14 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
         root, links = np.arange(len(nid)), np.zeros(len(nid), np.int64)
         shared, one = Shared(sets), side[0] < 0
         rows = len(nid) if one else int((side == 0).sum())
-        step = max(1, 2_000_000 // len(nid))
+        step = max(1, min(2_000_000 // len(nid), 256))
         for a in range(0, rows, step):
             end, begin = min(a + step, rows), a if one else rows
             near = np.bitwise_count((sig[a:end, None] ^ sig[None, begin:]).view(np.uint64)) <= tau
             i, j = np.nonzero(np.triu(near, 1) if one else near)
+            if not counted:
+                apart = root[a + i] != root[begin + j]
+                i, j = i[apart], j[apart]
             if not len(i):
                 continue
             both, i, j = shared.of(a, end, begin, len(nid))[i, j].astype(np.int64), i + a, j + begin
@@ -532,7 +536,7 @@ def _verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, tau: int, k:
     return rows.groupBy("root", "lo", "hi").applyInArrow(run, "nid long, other long, links long")
 
 
-def _copies(docs: DataFrame, id_col: str, text_col: str, tau: int, shingle: int, least: float, block_words: int) -> DataFrame:
+def _copies(docs: DataFrame, id_col: str, text_col: str, tau: int, shingle: int, least: float, block_words: int, counted: bool = True) -> DataFrame:
     """(id, t, first, links) of the documents that aren't the first of their group; ``t`` is the hash of the text."""
     signed = written(signatures(docs, id_col, text_col, shingle), "signatures")
     nodes = signed.groupBy("sig", "h1", "h2").agg(F.min(F.struct("id", "t")).alias("own"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
@@ -541,7 +545,7 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, tau: int, shingle: int,
     if n > 1:
         pairs = connections(nodes, allocated(n, both, tau), tau, least)
         roots = components(pairs)
-        found = written(_verified(_texts(docs, id_col, text_col), nodes, roots, tau, shingle, least, block_words), "links")
+        found = written(_verified(_texts(docs, id_col, text_col), nodes, roots, tau, shingle, least, block_words, counted), "links")
         groups = components(found.select("nid", "other"), "nid", "other")
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))
         known = nodes.join(links, "nid", "left").join(groups, nodes["nid"] == groups["node"], "left").select("sig", "h1", "h2", "id", "t", F.coalesce("root", "nid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -576,5 +580,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = 10, shingle: int = 3, least: float = 0.45, block_words: int = 4_000_000) -> DataFrame:
     """``docs`` without the documents that :func:`near_duplicates` reports, by id and text: one text of each group stays."""
     i, t = fresh(docs, "_gone_id"), fresh(docs, "_gone_t")
-    gone = _copies(docs, id_col, text_col, tau, shingle, least, block_words).select(F.col("id").alias(i), F.col("t").alias(t))
+    gone = _copies(docs, id_col, text_col, tau, shingle, least, block_words, counted=False).select(F.col("id").alias(i), F.col("t").alias(t))
     return docs.join(gone, (column(id_col) == column(i)) & (F.xxhash64(column(text_col)) == column(t)), "left_anti")

@@ -522,6 +522,21 @@ def test_simhash_lists_few_pairs_of_a_large_group(spark, monkeypatch):
     assert edges[0] < sum(links) / 8
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 2000])
+def test_simhash_groups_without_counting(spark, block_words):
+    r = random.Random(25)
+    base = words(r, 60).split()
+    texts = []
+    for _ in range(450):  # more rows than are compared at a time
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = f"w{r.randrange(4000)}"
+        texts.append(" ".join(w))
+    every, some = ({(x.id, x.t, x.first): x.links for x in simhash._copies(table(spark, texts), "doc_id", "text", 10, 3, 0.45, block_words, counted).collect()} for counted in (True, False))
+    assert set(every) == set(some) and len(some) > 400 and all(0 < some[k] <= every[k] for k in some if every[k])
+    assert block_words == 2000 or sum(some.values()) < sum(every.values())
+
+
 @pytest.mark.parametrize("hot,dense", [(1 << 16, 8), (1 << 16, 0), (64, 8)])
 def test_simhash_connections(spark, monkeypatch, hot, dense):
     r = np.random.default_rng(23)
