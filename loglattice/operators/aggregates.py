@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler
@@ -11,20 +13,24 @@ from ..plans import nodes as n
 from ..plans.state import By, State, col, slot
 
 
-def _one(op: n.Agg, compile_: Compiler, exact: bool) -> tuple[str, Column]:
-    """(kind, aggregate)."""
+def _one(op: n.Agg, compile_: Compiler, exact: bool, here: Column | None = None) -> tuple[str, Column]:
+    """(kind, aggregate). ``here``: the rows that it is of."""
+
+    def only(c: Column) -> Column:
+        return c if here is None else F.when(here, c)
+
     if op.func == "count":
-        return "int", F.count(F.lit(1)) if op.arg is None else F.count_if(F.coalesce(boolean(compile_(op.arg)), F.lit(False)))
+        return "int", F.count(only(F.lit(1))) if op.arg is None else F.count_if(F.coalesce(only(boolean(compile_(op.arg))), F.lit(False)))
     v = compile_(op.arg)
     if op.func == "count_distinct" and compile_.state.df.isStreaming:
         return "int", F.size(F.collect_set(dyn(v))).cast("bigint")
     if op.func == "count_distinct":
         if v.kind in ("dyn", "none"):
-            return "int", F.count_distinct(dyn(v))
+            return "int", F.count_distinct(only(dyn(v)))
         # a null of a known kind is an explicit None, and counts once
-        some_none = F.coalesce(F.max((v.col.isNull() & v.good()).cast("int")), F.lit(0))
-        return "int", (F.count_distinct(v.guarded()) + some_none).cast("bigint")
-    x = number(v, dates=False)
+        some_none = F.coalesce(F.max(only((v.col.isNull() & v.good()).cast("int"))), F.lit(0))
+        return "int", (F.count_distinct(only(v.guarded())) + some_none).cast("bigint")
+    x = only(number(v, dates=False))
     finite = F.when(~F.isnan(x), x)
     if op.func == "sum":
         return "float", F.coalesce(F.sum(x), F.lit(0.0))
@@ -45,6 +51,29 @@ def _exact(x: Column, share: float) -> Column:
     return F.try_element_at(values, rank)
 
 
+def _ranked(df: DataFrame, keys: dict[str, Column], aggs: dict[str, Column], values: list[Column], shares: dict[str, tuple[int, float]]) -> DataFrame:
+    """Aggregates of which some are percentiles: the elements of rank ⌈share·n⌉, in one pass over the rows.
+
+    Equal values are counted before they are sorted, and are sorted on disk if need be. Rows with the number 0 are for
+    the other aggregates, and those with j for ``values[j - 1]``. ``shares`` has (j, share) for each percentile.
+    """
+    kept = {f"_key{k}": c for k, c in enumerate(keys.values())}
+    each = [F.struct(F.lit(j).alias("j"), x.alias("x")) for j, x in enumerate([F.lit(None).cast("double"), *values]) if j or aggs]
+    df = df.withColumns(kept | {"_of": F.explode(F.array(*each)) if len(each) > 1 else each[0]})
+    df = df.select("*", F.col("_of.j").alias("_j"), F.col("_of.x").alias("_x"))
+    counted = df.groupBy(*kept, "_j", "_x").agg(F.count("_x").alias("_n"), *(c.alias(k) for k, c in aggs.items()))
+    group = Window.partitionBy(*kept, "_j")
+    upto, n_all = F.sum("_n").over(group.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(group)
+    counted = counted.withColumns({"_upto": upto, "_all": n_all})
+    out = [F.max(F.when(F.col("_j") == 0, F.col(f"`{k}`"))).alias(k) for k in aggs]
+    for k, (j, share) in shares.items():
+        rank = F.ceil(F.col("_all").cast("decimal(20,0)") * F.lit(Decimal(f"{Decimal(repr(share)):f}")))
+        out.append(F.min(F.when((F.col("_j") == j) & (F.col("_upto") >= rank), F.col("_x"))).alias(k))
+    if not kept:
+        return counted.agg(*out, F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
+    return counted.groupBy(*(F.col(c).alias(k) for c, k in zip(kept, keys))).agg(*out)
+
+
 def names_of(op: n.Aggregate) -> tuple[list[str], list[str]]:
     """Fields of the keys and of the aggregates; a name that is taken gets a number."""
     keys = [e.name if isinstance(e, n.Ref) and not e.path else e.text for e in op.keys]
@@ -68,12 +97,21 @@ def aggregate(state: State, op: n.Aggregate, compile_: Compiler) -> State:
             grouped[name], kinds[name] = F.coalesce(dyn(v), none()), "dyn"
         else:
             grouped[name], kinds[name] = v.guarded(), v.kind
+    # a stream can't be sorted within its groups
+    ranked = [a.arg for a in op.aggs if a.func == "percentile" and not state.df.isStreaming]
+    ranked = [e for k, e in enumerate(ranked) if e not in ranked[:k]]
+    values, shares = [number(compile_(e), dates=False) for e in ranked], {}
     aggs = {}
     for name, a in zip(names, op.aggs):
-        kinds[name], aggs[name] = _one(a, compile_, state.options.exact_percentiles)
+        if a.func == "percentile" and ranked:
+            kinds[name], shares[slot(name)] = "float", (ranked.index(a.arg) + 1, a.share)
+        else:
+            kinds[name], aggs[name] = _one(a, compile_, state.options.exact_percentiles, F.col("_j") == 0 if ranked else None)
     state = compile_.state
     out = [c.alias(slot(k)) for k, c in aggs.items()]
-    if grouped:
+    if ranked:
+        df = _ranked(state.df, {slot(k): c for k, c in grouped.items()}, {slot(k): c for k, c in aggs.items()}, values, shares)
+    elif grouped:
         df = state.df.groupBy(*(c.alias(slot(k)) for k, c in grouped.items())).agg(*out)
     else:
         df = state.df.agg(*out, F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")

@@ -18,7 +18,7 @@ from .state import State
 @dataclass(frozen=True)
 class Options:
     """``schema``: fields of JSON, as DDL or a StructType; known fields are read straight into typed columns.
-    ``exact_percentiles``: by all values of a group and not by a sketch. ``compat_sort_order``: an operator on rows that
+    ``exact_percentiles``: those of a stream by all values of a group and not by a sketch; those of a table always are exact. ``compat_sort_order``: an operator on rows that
     is written behind a sort of records comes before it. ``order_column``: a hidden column that numbers the rows.
     """
 

@@ -134,6 +134,28 @@ def test_implicit_sort_and_snapshots(run):
     assert run("* | json | count by k | count as n, count as n", lines) == [(3, 3)]
 
 
+def test_percentiles_are_elements_of_their_rank(run, spark):
+    n = 90_000
+    df = spark.range(n, numPartitions=7).selectExpr("id * 7919 % 90000 AS x", "id % 3 AS k", "CASE WHEN id % 2 = 0 THEN id % 7919 * 0.5 - 100 END AS y")
+    want, k3 = {}, []
+    for i in range(n):
+        want.setdefault(i % 3, []).append((i * 7919 % n, i % 7919 * 0.5 - 100 if i % 2 == 0 else None))
+    for k, rows in want.items():
+        xs, ys = sorted(x for x, _ in rows), sorted(y for _, y in rows if y is not None)
+        at = lambda v, num, den: float(v[-(-len(v) * num // den) - 1])
+        k3.append((k, at(xs, 1, 2), at(xs, 9, 10), at(ys, 1, 2), len(rows), sum(x < 1000 for x in xs), len(ys), len(set(ys)) + 1, float(min(xs)), at(xs, 999, 1000)))
+    query = "* | p50(x), p90(x), p50(y) as y50, count, count(x < 1000) as few, count(y > -1000) as ys, count_distinct(y) as many, min(x), p999(x) by k | sort by k"
+    assert [tuple(r) for r in run.engine.query(query, df).df().collect()] == k3
+    assert [tuple(r) for r in run.engine.query("* | p50(x), p1(x)", df).df().collect()] == [(n // 2 - 1.0, n // 10 - 1.0)]
+    assert run.engine.query("* | where x < 0 | p50(x), count", df).df().collect() == run.engine.query("* | where x < 0 | p50(x) by k", df).df().collect() == []
+
+
+def test_percentiles_of_odd_values(run):
+    lines = ['{"k": "a", "v": -0.0}', '{"k": "a", "v": -5}', '{"k": null, "v": 1e300}', '{"v": "7"}', '{"k": 1, "v": "no"}', '{"k": 1}', '{"k": "a", "v": 1e-300}', '{"k": "a", "v": -1e300}', '{"k": null, "v": 3}']
+    assert sorted(run("* | json | p50(v), count, avg(v) by k", lines), key=str) == [("1", None, 2, pytest.approx(math.nan, nan_ok=True)), ("a", -5.0, 4, pytest.approx(-2.5e299)), (None, 7.0, 3, pytest.approx(1e300 / 3))]
+    assert run("* | json | p75(v), p99(v), p01(v)", lines) == [(7.0, 1e300, -1e300)]
+
+
 def test_dates(run):
     lines = ['{"t": "2014-01-01T10:20:30Z"}', '{"t": "21/Jan/2014 14:18:17"}', '{"t": "abc"}', '{"t": "10/Oct/2000:13:55:36 -0700"}']
     assert [r[0] for r in run("* | json | parseDate(t) as d | fields d", lines)] == [datetime(2014, 1, 1, 10, 20, 30), datetime(2014, 1, 21, 14, 18, 17), datetime(2000, 10, 10, 13, 55, 36)]
