@@ -51,27 +51,54 @@ def _exact(x: Column, share: float) -> Column:
     return F.try_element_at(values, rank)
 
 
+#: Ranges of values in each power of 2, which are sorted apart, and values in a piece of a range.
+RANGES, PIECE = 16, 4096
+
+
+def _range(x: Column) -> Column:
+    """A whole number that never falls as x rises: the place of its logarithm, by sign."""
+    place = F.floor(F.signum(x) * (F.log2(F.abs(x)) + 1075) * RANGES)
+    return F.when(F.isnan(x) | (x == float("inf")), 1 << 20).when(x == float("-inf"), -(1 << 20)).when(x == 0, 0).otherwise(place)
+
+
 def _ranked(df: DataFrame, keys: dict[str, Column], aggs: dict[str, Column], values: list[Column], shares: dict[str, tuple[int, float]]) -> DataFrame:
     """Aggregates of which some are percentiles: the elements of rank ⌈share·n⌉, in one pass over the rows.
 
-    Equal values are counted before they are sorted, and are sorted on disk if need be. Rows with the number 0 are for
-    the other aggregates, and those with j for ``values[j - 1]``. ``shares`` has (j, share) for each percentile.
+    Equal values are counted, then each range of values is sorted by itself and cut into pieces, and only the pieces of
+    a group come together in one task. Rows with the number 0 are for the other aggregates, and those with j for
+    ``values[j - 1]``. ``shares`` has (j, share) for each percentile.
     """
     kept = {f"_key{k}": c for k, c in enumerate(keys.values())}
     each = [F.struct(F.lit(j).alias("j"), x.alias("x")) for j, x in enumerate([F.lit(None).cast("double"), *values]) if j or aggs]
     df = df.withColumns(kept | {"_of": F.explode(F.array(*each)) if len(each) > 1 else each[0]})
     df = df.select("*", F.col("_of.j").alias("_j"), F.col("_of.x").alias("_x"))
     counted = df.groupBy(*kept, "_j", "_x").agg(F.count("_x").alias("_n"), *(c.alias(k) for k, c in aggs.items()))
+    counted = counted.withColumn("_range", _range(F.col("_x")))
+    place = F.row_number().over(Window.partitionBy(*kept, "_j", "_range").orderBy("_x"))
+    pieces = counted.withColumn("_piece", F.floor((place - 1) / PIECE)).groupBy(*kept, "_j", "_range", "_piece")
+    pieces = pieces.agg(F.sum("_n").alias("_n"), F.collect_list(F.struct("_x", "_n")).alias("_xs"), *(F.max(f"`{k}`").alias(k) for k in aggs))
     group = Window.partitionBy(*kept, "_j")
-    upto, n_all = F.sum("_n").over(group.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(group)
-    counted = counted.withColumns({"_upto": upto, "_all": n_all})
+    upto, n_all = F.sum("_n").over(group.orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(group)
+    pieces = pieces.withColumns({"_upto": upto, "_all": n_all})
     out = [F.max(F.when(F.col("_j") == 0, F.col(f"`{k}`"))).alias(k) for k in aggs]
     for k, (j, share) in shares.items():
-        rank = F.ceil(F.col("_all").cast("decimal(20,0)") * F.lit(Decimal(f"{Decimal(repr(share)):f}")))
-        out.append(F.min(F.when((F.col("_j") == j) & (F.col("_upto") >= rank), F.col("_x"))).alias(k))
+        rank = F.ceil(F.col("_all").cast("decimal(20,0)") * F.lit(Decimal(f"{Decimal(repr(share)):f}"))).cast("bigint")
+        rest = rank - F.col("_upto") + F.col("_n")
+        here = (F.col("_j") == j) & (rest > 0) & (rest <= F.col("_n"))
+        out.append(F.max(F.when(here, _at(F.col("_xs"), rest))).alias(k))
     if not kept:
-        return counted.agg(*out, F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
-    return counted.groupBy(*(F.col(c).alias(k) for c, k in zip(kept, keys))).agg(*out)
+        return pieces.agg(*out, F.count(F.lit(1)).alias("_rows")).where("_rows > 0").drop("_rows")
+    return pieces.groupBy(*(F.col(c).alias(k) for c, k in zip(kept, keys))).agg(*out)
+
+
+def _at(counts: Column, rank: Column) -> Column:
+    """The element of a rank among values with their counts."""
+    start = F.struct(rank.alias("left"), F.lit(None).cast("double").alias("x"))
+
+    def step(seen: Column, c: Column) -> Column:
+        return F.struct((seen.left - c._n).alias("left"), F.when(seen.left > 0, c._x).otherwise(seen.x).alias("x"))
+
+    return F.aggregate(F.sort_array(counts), start, step, lambda seen: seen.x)
 
 
 def names_of(op: n.Aggregate) -> tuple[list[str], list[str]]:
